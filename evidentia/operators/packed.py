@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.session import spread
+from evidentia.session import spread, widen
 
 BUCKETS = 1 << 19
 KINDS = ("total", "value", "value_2", "shape", "split", "join")
@@ -379,4 +379,4 @@ def unpack(df: DataFrame, key: str, fields: list[str], rounds: int = 2) -> DataF
 
     kind = df.schema[key].dataType.simpleString()
     cells = _cells(df, fields, key)
-    return cells.repartition(spread(cells)).mapInPandas(run, f"{key} {kind}, field_name string, pos int, item string")
+    return widen(cells).mapInPandas(run, f"{key} {kind}, field_name string, pos int, item string")

@@ -43,3 +43,13 @@ def spread(df: DataFrame, per_core: int = 2, at_most: int = 4096) -> int:
     """A partition count for Python-heavy stages: a few tasks for each core of the cluster."""
     sc = df.sparkSession.sparkContext
     return max(2, min(at_most, sc.defaultParallelism * per_core))
+
+
+def widen(df: DataFrame, per_core: int = 2) -> DataFrame:
+    """``df`` in enough partitions for every core.
+
+    Input that already has as many partitions as the cluster has cores, which holds for any large
+    input, is left as it is: no shuffle. Only small inputs in few files are dealt out anew.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * per_core)
