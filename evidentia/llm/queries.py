@@ -6,10 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import readability, tokens
+from evidentia.llm import readability, representative, splitting, tokens
 from evidentia.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which the plan has more than one piece."""
+    return splitting.plan_texts(table(spark, sf_dir, "parsed_texts")).where("piece_no = 2").select("text_id")
+
+
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_texts(table(spark, sf_dir, "parsed_texts"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative.survivors(table(spark, sf_dir, "doc_details"), table(spark, sf_dir, "journal_quality"))
+
+
+def p2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return representative.current_values(table(spark, sf_dir, "doc_details"), ["publisher", "license", "source_quality", "is_retracted"])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -20,6 +37,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found,
+        "p1_pieces": p1_pieces,
+        "p2_found": p2_found,
+        "p2_current": p2_current,
         "p8_ids": p8_ids,
         "p10_found": p10_found,
     }
