@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import readability, representative, splitting, tokens
+from evidentia.llm import lookalikes, names, readability, representative, splitting, tokens
+from evidentia.operators import packed
 from evidentia.session import table
 
 
@@ -27,6 +28,19 @@ def p2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return representative.current_values(table(spark, sf_dir, "doc_details"), ["publisher", "license", "source_quality", "is_retracted"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.found(table(spark, sf_dir, "doc_details"))
+
+
+def p3_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.plain_items(table(spark, sf_dir, "doc_details"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = packed.unpack(table(spark, sf_dir, "retractions"), "row_id", ["author"])
+    return names.pairs(names.mentioned(table(spark, sf_dir, "doc_details").select("authors"), items))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -41,6 +55,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_pieces": p1_pieces,
         "p2_found": p2_found,
         "p2_current": p2_current,
+        "p3_found": p3_found,
+        "p3_plain": p3_plain,
+        "p4_found": p4_found,
         "p8_ids": p8_ids,
         "p10_found": p10_found,
     }
