@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import lookalikes, names, readability, representative, splitting, tokens
+from evidentia.llm import linkage, lookalikes, names, readability, representative, splitting, tokens
 from evidentia.operators import packed
 from evidentia.session import table
 
@@ -41,6 +41,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.pairs(names.mentioned(table(spark, sf_dir, "doc_details").select("authors"), items))
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link(table(spark, sf_dir, "doc_details"), table(spark, sf_dir, "s2_papers"), "record_id", "paper_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_matches(spark, sf_dir).select("record_id", "paper_id")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -58,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_plain": p3_plain,
         "p4_found": p4_found,
+        "p5_found": p5_found,
+        "p5_matches": p5_matches,
         "p8_ids": p8_ids,
         "p10_found": p10_found,
     }
