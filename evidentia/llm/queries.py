@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import linkage, lookalikes, names, readability, representative, splitting, tokens
+from evidentia.llm import linkage, lookalikes, names, readability, representative, scans, splitting, tokens
 from evidentia.operators import packed
 from evidentia.session import table
 
@@ -49,6 +49,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_matches(spark, sf_dir).select("record_id", "paper_id")
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noises(table(spark, sf_dir, "parsed_texts"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": p4_found,
         "p5_found": p5_found,
         "p5_matches": p5_matches,
+        "p7_found": p7_found,
         "p8_ids": p8_ids,
         "p10_found": p10_found,
     }
