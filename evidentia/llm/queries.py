@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import linkage, lookalikes, names, readability, representative, scans, splitting, tokens
+from evidentia.llm import leaks, linkage, lookalikes, names, readability, representative, scans, splitting, tokens
 from evidentia.operators import packed
 from evidentia.session import table
 
@@ -57,6 +57,10 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readability.bands(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
 
@@ -74,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_matches": p5_matches,
         "p7_found": p7_found,
         "p8_ids": p8_ids,
+        "p9_found": p9_found,
         "p10_found": p10_found,
     }
 
