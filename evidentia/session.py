@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,17 +28,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cut_folder(spark: SparkSession) -> str:
+    """The folder for cuts: the one the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that is unset (tests, a laptop) a temporary one is made.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        sc = spark.sparkContext
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="evidentia-cut-"))
+        named = sc._jsc.sc().getCheckpointDir().get()
+    return named.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back from there.
+    """Write ``df`` as a table in the shared folder and read it back from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary one is made. The files outlive lost executors.
+    The files outlive lost executors, are compressed, and later readers take only the columns they
+    need. They are removed when the driver ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="evidentia-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{cut_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if not _CUTS:
+        atexit.register(_remove_cuts)
+    _CUTS.append((df.sparkSession, path))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_CUTS: list[tuple[SparkSession, str]] = []
+
+
+def _remove_cuts() -> None:
+    for spark, path in _CUTS:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session has ended before
+            return
 
 
 def spread(df: DataFrame, per_core: int = 2, at_most: int = 4096) -> int:
