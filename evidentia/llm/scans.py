@@ -39,6 +39,12 @@ CONFUSED = [("o", "0"), ("l", "1"), ("l", "|"), ("i", "1"), ("i", "í"), ("i", "
 _PAIRS = frozenset(CONFUSED)
 
 
+def _break(line: str) -> re.Match | None:
+    """The match of a line end that may break a word."""
+    bare = line.rstrip(" \t\r")
+    return _BREAK.search(line) if bare and bare[-1] in SIGNS else None
+
+
 def normal_line(line: str) -> str:
     """A line without numbers and layout, to compare running lines by."""
     return re.sub(r"\s+", " ", re.sub(r"\b(?:\d+|[ivxl]{1,6})\b", " ", line.strip("\f \t\r").lower())).strip()
@@ -86,7 +92,7 @@ def counts(texts: DataFrame, key: str, content: str) -> DataFrame:
                     found = _WORD.findall(line.lower())
                     if broken and found:
                         found = found[1:]
-                    broken = bool(_BREAK.search(line))
+                    broken = _break(line) is not None
                     words.update(found[:-1] if broken else found)
             rows = [("word", k, n) for k, n in words.items()] + [("edge", k, n) for k, n in edge.items() if k] + [("mid", k, n) for k, n in mid.items() if k]
             yield pd.DataFrame(rows, columns=["kind", "item", "n"])
@@ -216,7 +222,7 @@ def _local(lines: list[str]) -> Counter:
         found = _WORD.findall(line.lower())
         if broken and found:
             found = found[1:]
-        broken = bool(_BREAK.search(line))
+        broken = _break(line) is not None
         out.update(found[:-1] if broken else found)
     return out
 
@@ -226,7 +232,7 @@ def breaks(lines: list[str], skip: dict[int, str]) -> list[tuple[int, str, str,
     out = []
     content = [i for i in range(len(lines)) if i not in skip and lines[i].strip()]
     for i, j in zip(content, [*content[1:], None], strict=True):
-        m = _BREAK.search(lines[i])
+        m = _break(lines[i])
         if not m:
             continue
         n = _FIRST.match(lines[j]) if j is not None else None
@@ -251,28 +257,43 @@ def train_breaks(texts: DataFrame, content: str, k: Known) -> dict:
                 y.append(1)
         for w in sorted({w for w in local if w.count("-") == 1}):
             a, _, b = w.partition("-")
-            rest = local.copy()
-            rest[w] -= 1
             if a.isalpha() and b.isalpha():
-                x.append(pair_features(a, b, rest, k))
+                local[w] -= 1
+                x.append(pair_features(a, b, local, k))
+                local[w] += 1
                 y.append(0)
     return boosting.fit(np.array(x, float).reshape(-1, 12), np.array(y, float))
 
 
 def misread_cost(seen: str, meant: str) -> float:
-    """Edits from ``meant`` to ``seen``, a known confusion counting 0.3."""
-    n, m = len(seen), len(meant)
-    d = np.full((n + 1, m + 1), 99.0)
-    d[:, 0], d[0, :] = np.arange(n + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (seen[i - 1] != meant[j - 1]))
+    """Edits from ``meant`` to ``seen``, a known confusion counting 0.3.
+
+    What both share at their ends is left out, so mostly a few signs are compared.
+    """
+    if seen == meant:
+        return 0.0
+    i, n, m = 0, len(seen), len(meant)
+    while i < n and i < m and seen[i] == meant[i]:
+        i += 1
+    j = 0
+    while j < n - i and j < m - i and seen[n - 1 - j] == meant[m - 1 - j]:
+        j += 1
+    x, y = seen[i : n - j], meant[i : m - j]
+    if (y, x) in _PAIRS:
+        return 0.3
+    d = [[float(k) for k in range(len(y) + 1)]]
+    for r in range(1, len(x) + 1):
+        row = [float(r)]
+        for c in range(1, len(y) + 1):
+            best = min(d[r - 1][c] + 1, row[c - 1] + 1, d[r - 1][c - 1] + (x[r - 1] != y[c - 1]))
             for p in (1, 2):
                 for q in (1, 2):
-                    if i >= p and j >= q and d[i - p, j - q] + 0.3 < best and (meant[j - q : j], seen[i - p : i]) in _PAIRS:
-                        best = d[i - p, j - q] + 0.3
-            d[i, j] = best
-    return float(d[n, m])
+                    above = d[r - p] if r >= p else None
+                    if above is not None and c >= q and above[c - q] + 0.3 < best and (y[c - q : c], x[r - p : r]) in _PAIRS:
+                        best = above[c - q] + 0.3
+            row.append(best)
+        d.append(row)
+    return d[-1][-1]
 
 
 def grams(word: str) -> list[tuple[str, int]]:
@@ -353,6 +374,7 @@ def line_pass(texts: DataFrame, key: str, content: str, k: Known, breaker: dict)
                         cut_at.add(i)
                 frequent = [w for w, n in local.items() if n >= 3 and w not in k.words and w.isalpha()]
                 after_cut = False
+                judged: dict[str, bool] = {}
                 for i, line in enumerate(lines):
                     if i in skip or not line.strip():
                         continue
@@ -366,8 +388,9 @@ def line_pass(texts: DataFrame, key: str, content: str, k: Known, breaker: dict)
                         for part in w.lower().split("-"):
                             if _token_ok(part, k):
                                 n = local[part] if part == w.lower() else 1
-                                near = n <= 2 and any(abs(len(v) - len(part)) <= 1 and v != part and (v[0] == part[0] or v[-1] == part[-1]) and misread_cost(part, v) <= 0.31 for v in frequent)
-                                rows.append((tid, i + 1, "char" if near else "?", part, n))
+                                if part not in judged:
+                                    judged[part] = n <= 2 and any(abs(len(v) - len(part)) <= 1 and v != part and (v[0] == part[0] or v[-1] == part[-1]) and misread_cost(part, v) <= 0.31 for v in frequent)
+                                rows.append((tid, i + 1, "char" if judged[part] else "?", part, n))
             yield pd.DataFrame(rows, columns=[key, "line_no", "noise", "word", "n"])
 
     return texts.select(key, content).mapInPandas(run, f"{key} {kind}, line_no int, noise string, word string, n bigint")
