@@ -114,6 +114,23 @@ class Known:
                 self.heads[head] += n
 
 
+def trusted(words: dict[str, int]) -> dict[str, int]:
+    """Common words without those that are frequent misreadings of far commoner ones."""
+
+    def doubtful(w: str, n: int) -> bool:
+        odd = any(not c.isalpha() and c not in "-'’" for c in w)
+        for meant, seen in CONFUSED:
+            at = w.find(seen)
+            while at >= 0:
+                v = w[:at] + meant + w[at + len(seen) :]
+                if words.get(v, 0) >= (3 if odd else 50) * n:
+                    return True
+                at = w.find(seen, at + 1)
+        return False
+
+    return {w: n for w, n in words.items() if not doubtful(w, n)}
+
+
 def known(texts: DataFrame, key: str, content: str) -> Known:
     all_counts = cut(counts(texts, key, content))
     sums = {r["kind"]: r["n"] for r in all_counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
@@ -122,7 +139,7 @@ def known(texts: DataFrame, key: str, content: str) -> Known:
     # an edge or mid list holds at most EDGE_SHARE times the lines of a text that can be counted
     kept = all_counts.where(" or ".join(f"(kind = '{k}' and n >= {v})" for k, v in need.items())).toPandas()
     of = lambda k: dict(zip(*[kept[kept["kind"] == k][c].tolist() for c in ("item", "n")], strict=True))
-    return Known(of("word"), of("edge"), of("mid"), sums.get("word", 0))
+    return Known(trusted(of("word")), of("edge"), of("mid"), sums.get("word", 0))
 
 
 def furniture(lines: list[str], k: Known) -> dict[int, str]:
