@@ -123,7 +123,7 @@ def trusted(words: dict[str, int]) -> dict[str, int]:
             at = w.find(seen)
             while at >= 0:
                 v = w[:at] + meant + w[at + len(seen) :]
-                if words.get(v, 0) >= (3 if odd else 50) * n:
+                if words.get(v, 0) >= (3 if odd else 400) * n:
                     return True
                 at = w.find(seen, at + 1)
         return False
