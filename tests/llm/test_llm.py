@@ -179,6 +179,18 @@ def test_linkage(spark):
     assert linkage.link(a.limit(0), b, "record_id", "paper_id").count() == 0
 
 
+def test_linkage_of_one_title_by_many(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "HOT", 10)
+    rng = random.Random(6)
+    surname = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(4)) + "sen"
+    who = [f"Ann {surname()}" for _ in range(80)]
+    left = [(i, "Editorial", [w], 1990 + i % 30) for i, w in enumerate(who)]
+    right = [(500 + i, "editorial", [w], 1990 + i % 30) for i, w in enumerate(who) if i % 2]
+    schema = "{} bigint, title string, authors array<string>, pub_year int"
+    got = linkage.link(spark.createDataFrame(left, schema.format("record_id")), spark.createDataFrame(right, schema.format("paper_id")), "record_id", "paper_id")
+    assert {(r[0], r[1]) for r in got.collect()} == {(i, 500 + i) for i in range(80) if i % 2}
+
+
 # Scans
 
 
