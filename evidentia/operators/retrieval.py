@@ -42,14 +42,17 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     """
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(query))).alias("term"))
     terms = asked.select("term").distinct()
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # with few terms their weights are few too: the hits of a common term are not shuffled to one task
+    sent = F.broadcast if few else lambda d: d
     # one pass over the texts for lengths, one for the postings of the asked terms
     sizes = docs.select(F.size(tokens(text)).alias("dl")).where("dl >= 0").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     row = docs.select(key, tokens(text).alias("_t")).select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term"))
-    hits = row.join(_small(terms), "term").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
+    hits = row.join(F.broadcast(terms) if few else terms, "term").groupBy("term", key, "dl").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = df.crossJoin(F.broadcast(sizes)).select("term", "avg_dl", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weighed = hits.join(idf, "term").select("term", key, (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))).alias("w"))
-    scores = weighed.join(asked, "term").groupBy(query_key, key).agg(F.sum("w").alias("score"))
+    weighed = hits.join(sent(idf), "term").select("term", key, (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))).alias("w"))
+    scores = weighed.join(sent(asked), "term").groupBy(query_key, key).agg(F.sum("w").alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(F.round("score", 9)), key))
     ranked = scores.withColumn("rank", rank).where((F.col("rank") > offset) & (F.col("rank") <= offset + k) & (F.col("score") > min_score))
     return ranked.select(query_key, key, "rank", "score")
