@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from evidentia.functions.text import _col
 from evidentia.functions.vectors import cosine
+from evidentia.session import widen
 
 K1, B = 1.2, 0.75
 MAX_TOKEN_BYTES = 40
@@ -22,11 +23,21 @@ def tokens(c: str | Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, key, tf): counted within each row, so nothing is shuffled."""
-    t = F.col("_t")
-    counted = docs.select(key, F.array_sort(tokens(text)).alias("_t"))
-    pairs = F.transform(F.array_distinct(t), lambda w: F.struct(w.alias("term"), (F.size(F.filter(t, lambda x: x == w))).alias("tf")))
-    return counted.select(key, F.explode(pairs).alias("p")).select("p.term", key, "p.tf")
+    """(term, key, tf): the index of all terms; pairs are counted before they are shuffled."""
+    terms = widen(docs.select(key, text)).select(key, F.explode(tokens(text)).alias("term"))
+    return terms.groupBy("term", key).agg(F.count("*").alias("tf"))
+
+
+def term_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(term, df, tf): in how many documents a term occurs, and how often.
+
+    Each document gives its terms and its distinct terms; both fold to one row a term before the
+    shuffle, so no pair of term and document leaves its partition.
+    """
+    t = widen(docs.select(key, text)).select(tokens(text).alias("_t"))
+    seen = t.select(F.explode(F.array_distinct("_t")).alias("term"), F.lit(1).alias("df"), F.lit(0).alias("tf"))
+    used = t.select(F.explode("_t").alias("term"), F.lit(0).alias("df"), F.lit(1).alias("tf"))
+    return seen.unionAll(used).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -40,6 +51,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     Exact BM25 over distinct query terms. Only postings of terms that a query asks for leave their
     partition. Ties go to the smaller key.
     """
+    docs = widen(docs.select(key, text))
     asked = queries.select(query_key, F.explode(F.array_distinct(tokens(query))).alias("term"))
     terms = asked.select("term").distinct()
     few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS and asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

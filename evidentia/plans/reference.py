@@ -18,7 +18,7 @@ from evidentia.functions import vectors as V
 from evidentia.functions.doi import canonical_doi
 from evidentia.operators import aggregates, chunking, filters, geometry, joins, merge, retrieval
 from evidentia.plans import answering, models
-from evidentia.session import table
+from evidentia.session import table, widen
 from evidentia.sources import files, providers, trials
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,7 +178,7 @@ _ENTROPY = "(with c as (select doc_id, ch, count(*) c from (select doc_id, unnes
 
 @query(f"select doc_id, round(e,5) entropy, (e > 2.5 and e < 8.0) is_text from {_ENTROPY}")
 def flt2_entropy(s, d):
-    return _docs(s, d).select("doc_id", filters.entropy("text").alias("e")).where("e is not null").select("doc_id", F.round("e", 5).alias("entropy"), ((F.col("e") > 2.5) & (F.col("e") < 8)).alias("is_text"))
+    return widen(_docs(s, d).select("doc_id", "text")).select("doc_id", filters.entropy("text").alias("e")).where("e is not null").select("doc_id", F.round("e", 5).alias("entropy"), ((F.col("e") > 2.5) & (F.col("e") < 8)).alias("is_text"))
 
 
 @query("""with c as (select doc_id dockey, substr(text,1,400) one, substr(text,1,800) two, substr(text,1,2000) five from documents where length(text)>0),
@@ -387,7 +387,12 @@ _TOKENS = r"(select doc_id, unnest(string_split_regex(lower(text),'[^\p{L}\p{N}]
 
 @query(f"select term, count(distinct doc_id) df, count(*)::bigint tf from {_TOKENS} where term<>'' and strlen(term)<=40 group by term")
 def agg10_term_statistics(s, d):
-    return retrieval.postings(_docs(s, d).where("text is not null"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return retrieval.term_statistics(_docs(s, d).where("text is not null"), "doc_id", "text")
+
+
+@query(f"select term, doc_id, count(*)::bigint tf from {_TOKENS} where term<>'' and strlen(term)<=40 group by all")
+def agg10_postings(s, d):
+    return retrieval.postings(_docs(s, d).where("text is not null"), "doc_id", "text")
 
 
 @query("select source, count(*) total, sum((dockey is not null)::int)::bigint enriched, sum((n_chars is null)::int)::bigint filtered from documents group by source")
