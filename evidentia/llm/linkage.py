@@ -22,7 +22,7 @@ from evidentia.session import cut, widen
 COMMON_SHARE = 2000  # a word is common in at least one of so many records: at most so many times
 #                      the words of a title can be, which bounds the list of common words
 LEVELS = ("rare", "text", "marker", "who", "year")
-HOT = 2_000
+HOT = 2_000  # classes of one key that are joined in one go; more are dealt into blocks of so many
 COMPARED = ("marker", "was_cut", "rare", "lead", "compact", "likely", "names", "year")
 MIN_CONFIDENCE = 0.5
 
@@ -119,17 +119,20 @@ def _keys(c: DataFrame, all_duos: bool) -> DataFrame:
 def _propose(ca: DataFrame, cb: DataFrame) -> DataFrame:
     """(class, class_b): the distinct pairs that share a key.
 
-    A key of more than ``HOT`` classes on a side tells little and would give pairs by the square;
-    there, a pair must share the key and a word of an author's name.
+    A key of more than ``HOT`` classes is dealt out: each side into blocks, every block of one side
+    met by every block of the other, so that no task holds all of its pairs. No pair is left out.
     """
-    ka, kb = cut(_keys(ca, False)), cut(_keys(cb, True))
-    hot = ka.unionByName(kb).groupBy("key").count().where(F.col("count") > HOT).select("key")
-    hot = cut(hot)
-    if not hot.isEmpty():
-        by_name = lambda k, c: k.join(hot, "key", "left_semi").join(c.select("class", F.explode("names").alias("n")), "class").select("class", F.xxhash64("key", "n").alias("key"))
-        ka = ka.join(hot, "key", "left_anti").unionByName(by_name(ka, ca))
-        kb = kb.join(hot, "key", "left_anti").unionByName(by_name(kb, cb))
-    return ka.join(kb.withColumnRenamed("class", "class_b"), "key").select("class", "class_b").distinct()
+    ka, kb = cut(_keys(ca, False)), cut(_keys(cb, True)).withColumnRenamed("class", "class_b")
+    sides = ka.select("key", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(kb.select("key", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    blocks = lambda n: F.ceil(F.sum(n) / HOT).cast("int")
+    hot = sides.groupBy("key").agg(blocks("a").alias("blocks"), blocks("b").alias("blocks_b"), F.count("*").alias("n")).where(F.col("n") > HOT).drop("n")
+    hot = cut(hot.where("blocks > 0 and blocks_b > 0"))
+    if hot.isEmpty():
+        return ka.join(kb, "key").select("class", "class_b").distinct()
+    cold = ka.join(hot, "key", "left_anti").join(kb, "key").select("class", "class_b")
+    of_block = lambda k, c, own, other, i, j: k.join(hot, "key").select("key", c, F.expr(f"pmod({c}, {own})").cast("int").alias(i), F.explode(F.expr(f"sequence(0, {other} - 1)")).alias(j))
+    dealt = of_block(ka, "class", "blocks", "blocks_b", "i", "j").join(of_block(kb, "class_b", "blocks_b", "blocks", "j", "i"), ["key", "i", "j"]).select("class", "class_b")
+    return cold.unionByName(dealt).distinct()
 
 
 def _untitled() -> Column:

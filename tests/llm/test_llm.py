@@ -191,6 +191,20 @@ def test_linkage_of_one_title_by_many(spark, monkeypatch):
     assert {(r[0], r[1]) for r in got.collect()} == {(i, 500 + i) for i in range(80) if i % 2}
 
 
+def test_hot_keys_leave_no_pair_out(spark, monkeypatch):
+    schema = "record_id bigint, title string, authors array<string>, pub_year int"
+    left = [(i, "Editorial", None if i % 3 else [f"Vera Nachname{i}"], 2000 + i % 4) for i in range(23)]
+    right = [(100 + i, "Editorial", None if i % 2 else [f"Otto Anders{i}"], None) for i in range(17)]
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    common = F.lit(["editorial"])
+    ca, cb = (linkage._classes(linkage.features(x, "record_id"), common) for x in (a, b))
+    n = ca.count() * cb.count()
+    assert n > 20
+    for hot in (2_000, 3, 1):
+        monkeypatch.setattr(linkage, "HOT", hot)
+        assert linkage._propose(ca, cb).count() == n
+
+
 # Scans
 
 
