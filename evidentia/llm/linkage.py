@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,7 @@ from evidentia.session import cut, widen
 COMMON_SHARE = 2000  # a word is common in at least one of so many records: at most so many times
 #                      the words of a title can be, which bounds the list of common words
 LEVELS = ("rare", "text", "marker", "who", "year")
+SAMPLE = 16  # hot keys are told by the classes of one in so many
 HOT = 2_000  # classes of one key that are joined in one go; more are dealt into blocks of so many
 COMPARED = ("marker", "was_cut", "rare", "lead", "compact", "likely", "names", "year")
 MIN_CONFIDENCE = 0.5
@@ -97,42 +99,73 @@ def _classes(rows: DataFrame, common: Column) -> DataFrame:
     return one.withColumn("frame", frame).withColumn("lead", F.get("words", F.lit(0))).withColumn("compact", F.array_join("words", ""))
 
 
-def _keys(c: DataFrame, all_duos: bool) -> DataFrame:
-    """Blocking keys of a class, of all passes: (class, key)."""
+def _ends(heads: Column) -> Column:
+    """Keys of both ends of a title's letters without blanks, each with every one of ``heads``.
+
+    One misread word, a moved blank or a cut leaves one end whole; short titles give shorter ends.
+    """
+    n = F.length("compact")
+    out = []
+    for k, given in ((20, n >= 20), (12, (n >= 12) & (n < 45)), (7, (n >= 7) & (n < 27))):
+        for side, letters in (("p", F.substring("compact", 1, k)), ("q", F.substring(F.reverse("compact"), 1, k))):
+            with_end = partial(F.xxhash64, F.xxhash64(F.lit(f"{side}{k}"), letters))
+            out.append(F.when(given, F.transform(heads, lambda h: with_end(h))).otherwise(F.array().cast("array<bigint>")))  # noqa: B023
+    return F.concat(*out)
+
+
+def _keys(c: DataFrame, right: bool) -> DataFrame:
+    """Blocking keys of a class, of all passes: (class, key).
+
+    The lowest bit of a key is 1 for the passes that the levels are learned from.
+    """
     longest = F.get(F.array_sort(F.transform("rare", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(0))["w"]
     by_word = F.transform("rare", lambda w: F.concat(F.lit("w|"), w))
     by_start = F.array(F.concat_ws("|", F.lit("s"), F.substring(longest, 1, 4), "frame"), F.concat_ws("|", F.lit("e"), F.substring(F.reverse(longest), 1, 5), "frame"))
-    by_name = F.transform("names" if all_duos else "likely", lambda n: F.concat_ws("|", F.lit("n"), n, F.col("year").cast("string"), "frame"))
+    names = F.col("names" if right else "likely")
+    by_name = F.transform(names, lambda n: F.concat_ws("|", F.lit("n"), n, F.col("year").cast("string"), "frame"))
     none = F.array().cast("array<string>")
     whole = F.when((F.size("words") > 0) & (F.size("rare") == 0), F.array(F.concat(F.lit("t|"), F.array_join("words", " ")))).otherwise(none)
-    # records without a title meet by two surnames and a year
-    duo = F.expr("flatten(transform(likely, (x, i) -> transform(slice(likely, i + 2, size(likely)), y -> concat_ws('|', 'd', x, y))))")
-    if all_duos:
-        years = F.array(*[(F.col("year") + k).cast("string") for k in (-1, 0, 1)])
-        by_duo = F.when(F.col("year").isNotNull(), F.flatten(F.transform(duo, lambda d: F.transform(years, lambda y: F.concat_ws("|", d, y))))).otherwise(none)
-    else:
-        by_duo = F.when((F.size("words") == 0) & F.col("year").isNotNull(), F.transform(duo, lambda d: F.concat_ws("|", d, F.col("year").cast("string")))).otherwise(none)
-    keys = F.concat(by_duo, by_word, F.when(F.size("rare") > 0, by_start).otherwise(none), F.when(F.col("year").isNotNull() & (F.size("words") > 0), by_name).otherwise(none), whole)
-    return c.select("class", F.explode(F.transform(keys, lambda k: F.xxhash64(k))).alias("key")).distinct()
+    first = F.concat(by_word, F.when(F.size("rare") > 0, by_start).otherwise(none), F.when(F.col("year").isNotNull() & (F.size("words") > 0), by_name).otherwise(none), whole)
+    # the passes below need neither the rare words nor the frame
+    no_key = F.array().cast("array<bigint>")
+    letters = F.when(F.col("compact") != "", F.array(F.xxhash64(F.lit("c"), "compact"))).otherwise(no_key)
+    years = F.array(*[F.col("year") + k for k in ((-1, 0, 1) if right else (0,))])
+    years = F.when(F.col("year").isNotNull(), years).otherwise(F.array().cast("array<int>"))
+    duo = F.expr("flatten(transform(likely, (x, i) -> transform(slice(likely, i + 2, size(likely)), y -> xxhash64('d', x, y))))")
+    by_duo = F.flatten(F.transform(duo, lambda d: F.transform(years, lambda y: F.xxhash64(d, y))))
+    by_end = _ends(F.transform(names, lambda n: F.xxhash64(F.lit("n"), n)))
+    # a class without names meets the ends of all others by the year: left ones under l, right ones under r
+    mine, others = ("r", "l") if right else ("l", "r")
+    tagged = lambda tag: F.transform(years, lambda y: F.xxhash64(F.lit(tag), y))
+    by_end_year = _ends(F.concat(tagged(others), F.when(F.size("names") == 0, tagged(mine)).otherwise(no_key)))
+    later = F.concat(letters, by_duo, by_end, by_end_year)
+    keys = F.concat(
+        F.transform(first, lambda k: F.shiftleft(F.xxhash64(k), 1).bitwiseOR(F.lit(1))),
+        F.transform(later, lambda k: F.shiftleft(k, 1)),
+    )
+    # classes are distinct rows
+    return c.select("class", F.explode(F.array_distinct(keys)).alias("key"))
 
 
 def _propose(ca: DataFrame, cb: DataFrame) -> DataFrame:
-    """(class, class_b): the distinct pairs that share a key.
+    """(class, class_b, first): the distinct pairs that share a key, and whether one of the first passes.
 
-    A key of more than ``HOT`` classes is dealt out: each side into blocks, every block of one side
-    met by every block of the other, so that no task holds all of its pairs. No pair is left out.
+    A key of about more than ``HOT`` classes, judged by a sample, is dealt out: each side into
+    blocks, every block of one side met by every block of the other, so that no task holds all of
+    its pairs. No pair is left out, whatever the sample says.
     """
-    ka, kb = cut(_keys(ca, False)), cut(_keys(cb, True)).withColumnRenamed("class", "class_b")
-    sides = ka.select("key", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(kb.select("key", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    blocks = lambda n: F.ceil(F.sum(n) / HOT).cast("int")
-    hot = sides.groupBy("key").agg(blocks("a").alias("blocks"), blocks("b").alias("blocks_b"), F.count("*").alias("n")).where(F.col("n") > HOT).drop("n")
-    hot = cut(hot.where("blocks > 0 and blocks_b > 0"))
+    ka, kb = _keys(ca, False), _keys(cb, True).withColumnRenamed("class", "class_b")
+    sampled = lambda c, right: _keys(c.where(F.pmod("class", F.lit(SAMPLE)) == 0), right)
+    sides = sampled(ca, False).select("key", F.lit(SAMPLE).alias("a"), F.lit(0).alias("b")).unionByName(sampled(cb, True).select("key", F.lit(0).alias("a"), F.lit(SAMPLE).alias("b")))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.sum(n) / HOT)).cast("int")
+    hot = cut(sides.groupBy("key").agg(blocks("a").alias("blocks"), blocks("b").alias("blocks_b"), F.sum(F.col("a") + F.col("b")).alias("n")).where(F.col("n") > HOT).drop("n"))
     if hot.isEmpty():
-        return ka.join(kb, "key").select("class", "class_b").distinct()
-    cold = ka.join(hot, "key", "left_anti").join(kb, "key").select("class", "class_b")
-    of_block = lambda k, c, own, other, i, j: k.join(hot, "key").select("key", c, F.expr(f"pmod({c}, {own})").cast("int").alias(i), F.explode(F.expr(f"sequence(0, {other} - 1)")).alias(j))
-    dealt = of_block(ka, "class", "blocks", "blocks_b", "i", "j").join(of_block(kb, "class_b", "blocks_b", "blocks", "j", "i"), ["key", "i", "j"]).select("class", "class_b")
-    return cold.unionByName(dealt).distinct()
+        met = ka.join(kb, "key")
+    else:
+        of_block = lambda k, c, own, other, i, j: k.join(hot, "key").select("key", c, F.expr(f"pmod({c}, {own})").cast("int").alias(i), F.explode(F.expr(f"sequence(0, {other} - 1)")).alias(j))
+        dealt = of_block(ka, "class", "blocks", "blocks_b", "i", "j").join(of_block(kb, "class_b", "blocks_b", "blocks", "j", "i"), ["key", "i", "j"])
+        met = ka.join(hot, "key", "left_anti").join(kb, "key").select("key", "class", "class_b").unionByName(dealt.select("key", "class", "class_b"))
+    return met.groupBy("class", "class_b").agg(F.max(F.col("key").bitwiseAND(F.lit(1))).cast("int").alias("first"))
 
 
 def _untitled() -> Column:
@@ -154,9 +187,10 @@ def _text_level() -> Column:
     """0 unlike, 1 a part, 2 close, 3 the same but for spaces, 4 no title."""
     a, b = F.col("compact"), F.col("compact_b")
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    edits = F.levenshtein(a, b)
-    head = F.levenshtein(F.expr("left(compact, least(length(compact), length(compact_b)))"), F.expr("left(compact_b, least(length(compact), length(compact_b)))"))
-    return F.when(_untitled(), 4).when(a == b, 3).when(edits <= F.greatest(F.lit(2), long * 0.12), 2).when((head <= short * 0.08 + 1) & (short >= 15), 1).otherwise(0)
+    # edits are counted as far as the limit and are -1 beyond
+    within = lambda x, y, most: F.call_function("levenshtein", x, y, F.floor(most).cast("int")) >= 0
+    head, head_b = (F.expr(f"left({c}, least(length(compact), length(compact_b)))") for c in ("compact", "compact_b"))
+    return F.when(_untitled(), 4).when(a == b, 3).when(within(a, b, F.greatest(F.lit(2), long * 0.12)), 2).when((short >= 15) & within(head, head_b, short * 0.08 + 1), 1).otherwise(0)
 
 
 def _marker_level() -> Column:
@@ -227,13 +261,16 @@ def link(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> Da
     one = ca.select("class", *COMPARED)
     other = cb.select(F.col("class").alias("class_b"), *[F.col(c).alias(f"{c}_b") for c in COMPARED])
     met = pairs.join(other, "class_b").join(one, "class")
-    compared = cut(met.select("class", "class_b", _rare_level().alias("rare"), _text_level().alias("text"), _marker_level().alias("marker"), _who_level().alias("who"), _year_level().alias("year")))
+    compared = cut(met.select("class", "class_b", F.when(F.col("compact") == "", 1).otherwise(F.col("first")).alias("first"), _rare_level().alias("rare"), _text_level().alias("text"), _marker_level().alias("marker"), _who_level().alias("who"), _year_level().alias("year")))
     # another marker or a new leading word makes another work, whatever else agrees
     compared = compared.where("marker > 0 and rare <> 1")
-    patterns = compared.groupBy(*LEVELS).agg(F.count("*").alias("n")).toPandas()
+    patterns = compared.groupBy(*LEVELS).agg(F.sum("first").alias("n"), F.count("*").alias("n_all")).toPandas()
     if not len(patterns):
         return a.join(b, "class").select(left_key, right_key, F.lit(1.0).alias("confidence")).limit(0)
-    scored = spark.createDataFrame(learn(patterns).astype({f: "int32" for f in LEVELS}).drop(columns="n"))
+    # the levels are learned from the first passes (and pairs without a title): the others meet many
+    # unlike pairs with a name or a year in common, which would shift the shares of those levels
+    patterns["n"] = patterns["n"] if patterns["n"].sum() else patterns["n_all"]
+    scored = spark.createDataFrame(learn(patterns.drop(columns="n_all")).astype({f: "int32" for f in LEVELS}).drop(columns="n"))
     # at most the product of the level counts, 2700 rows
     sure = compared.join(F.broadcast(scored), list(LEVELS)).where(F.col("confidence") >= MIN_CONFIDENCE)
     return (

@@ -200,11 +200,47 @@ def test_hot_keys_leave_no_pair_out(spark, monkeypatch):
     ca, cb = (linkage._classes(linkage.features(x, "record_id"), common) for x in (a, b))
     n = ca.count() * cb.count()
     assert n > 20
+    monkeypatch.setattr(linkage, "SAMPLE", 1)
     for hot in (2_000, 3, 1):
         monkeypatch.setattr(linkage, "HOT", hot)
         assert linkage._propose(ca, cb).count() == n
 
 
+def test_titles_with_a_moved_blank_meet(spark):
+    schema = "record_id bigint, title string, authors array<string>, pub_year int"
+    who = ["Ann Miller", "Bo Fischer"]
+    cases = [
+        ("Early ulmrarine xposure shifts heat transfer", who, 2001, "Early ulmrarin exposure shifts heat transfer", who, 2002),  # a moved blank
+        ("Limits of velrakethane in predicting frost damage", who, 2001, "Limits ofvelrakithane in predicting frost damage", who[:1], 2009),  # and one name, a far year
+        ("Does ethraium improve air quality in old schools", None, 2001, "Doesethraiumi mprove air quality in old schools", who, 2001),  # and no names
+        ("Is xylofen safe in dogs", who, 2001, "Isxylofem safe in dogs", who[:1], 2007),  # short
+    ]
+    a = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], schema)
+    b = spark.createDataFrame([(i, *c[3:]) for i, c in enumerate(cases)], schema)
+    fa, fb = linkage.features(a, "record_id"), linkage.features(b, "record_id")
+    common = F.lit(["early", "exposure", "shifts", "heat", "transfer", "limits", "of", "in", "predicting", "frost", "damage", "does", "improve", "air", "quality", "old", "schools", "is", "safe", "dogs"])
+    met = linkage._propose(linkage._classes(fa, common), linkage._classes(fb, common))
+    got = met.join(fa.select("class", "record_id"), "class").join(fb.select(F.col("class").alias("class_b"), F.col("record_id").alias("other")), "class_b")
+    assert {r["record_id"] for r in got.collect() if r["record_id"] == r["other"]} == set(range(len(cases)))
+
+
+def test_text_levels_equal_full_edit_distances(spark):
+    rng = random.Random(12)
+    rows = []
+    for _ in range(400):
+        x = "".join(rng.choice("abcde") for _ in range(rng.choice((3, 14, 30, 60))))
+        y = list(x)
+        for _ in range(rng.randrange(9)):
+            k = rng.randrange(len(y) + 1)
+            y[k : k + rng.randrange(2)] = rng.choice(("", "a", "f"))
+        rows.append((x, "".join(y)[: rng.choice((99, 20))]))
+    df = spark.createDataFrame(rows, "compact string, compact_b string").withColumn("short", F.expr("least(length(compact), length(compact_b))")).withColumn("long", F.expr("greatest(length(compact), length(compact_b))"))
+    full = F.expr("case when compact = '' or compact_b = '' then 4 when compact = compact_b then 3 when levenshtein(compact, compact_b) <= greatest(2, long * 0.12) then 2 when levenshtein(left(compact, short), left(compact_b, short)) <= short * 0.08 + 1 and short >= 15 then 1 else 0 end")
+    got = df.select(linkage._text_level().alias("got"), full.alias("full")).collect()
+    assert all(r["got"] == r["full"] for r in got)
+    assert len({r["got"] for r in got}) >= 4
+
+
 # Scans
 
 
