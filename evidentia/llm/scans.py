@@ -114,16 +114,20 @@ class Known:
                 self.heads[head] += n
 
 
+def far(word: str) -> int:
+    """How many times as common a word is at least that stands for a frequent misreading."""
+    return 3 if any(not c.isalpha() and c not in "-'’" for c in word) else 400
+
+
 def trusted(words: dict[str, int]) -> dict[str, int]:
     """Common words without those that are frequent misreadings of far commoner ones."""
 
     def doubtful(w: str, n: int) -> bool:
-        odd = any(not c.isalpha() and c not in "-'’" for c in w)
         for meant, seen in CONFUSED:
             at = w.find(seen)
             while at >= 0:
                 v = w[:at] + meant + w[at + len(seen) :]
-                if words.get(v, 0) >= (3 if odd else 400) * n:
+                if words.get(v, 0) >= far(w) * n:
                     return True
                 at = w.find(seen, at + 1)
         return False
@@ -406,7 +410,7 @@ def line_pass(texts: DataFrame, key: str, content: str, k: Known, breaker: dict)
                             if _token_ok(part, k):
                                 n = local[part] if part == w.lower() else 1
                                 if part not in judged:
-                                    judged[part] = n <= 2 and any(abs(len(v) - len(part)) <= 1 and v != part and (v[0] == part[0] or v[-1] == part[-1]) and misread_cost(part, v) <= 0.31 for v in frequent)
+                                    judged[part] = any(local[v] >= (far(part) * n if n > 2 else 3) and abs(len(v) - len(part)) <= 1 and v != part and (v[0] == part[0] or v[-1] == part[-1]) and misread_cost(part, v) <= 0.31 for v in frequent)
                                 rows.append((tid, i + 1, "char" if judged[part] else "?", part, n))
             yield pd.DataFrame(rows, columns=[key, "line_no", "noise", "word", "n"])
 
@@ -414,15 +418,16 @@ def line_pass(texts: DataFrame, key: str, content: str, k: Known, breaker: dict)
 
 
 def corrections(words: DataFrame, k: Known, ranker: dict) -> DataFrame:
-    """(word, meant, chance): rare words that are misread common ones.
+    """(word, meant, at_most, chance): rare words that are misread common ones.
 
+    ``at_most`` is how often a misreading may stand in a text, by how common its meaning is.
     Candidates meet through an equi-join on q-grams and their places; the index side is the common
     words, of bounded number.
     """
     spark = words.sparkSession
     index = [(g, i + s, w, n) for w, n in k.words.items() if w.isalpha() and len(w) >= 3 for g, i in grams(w) for s in (-1, 0, 1)]
     if not index:
-        return words.select("word", F.lit("").alias("meant"), F.lit(0.0).alias("chance")).limit(0)
+        return words.select("word", F.lit("").alias("meant"), F.lit(0).cast("bigint").alias("at_most"), F.lit(0.0).alias("chance")).limit(0)
     postings = spark.createDataFrame(pd.DataFrame(index, columns=["gram", "place", "meant", "n_meant"]))
     padded = words.select("word", F.concat(F.lit("^"), "word", F.lit("$")).alias("p"))
     asked = padded.select("word", F.posexplode(F.expr("transform(sequence(1, length(p) - 1), i -> substring(p, i, 2))")).alias("place", "gram"))
@@ -434,10 +439,10 @@ def corrections(words: DataFrame, k: Known, ranker: dict) -> DataFrame:
         ranker, total = sent.value
         for pdf in batches:
             x = np.array([rank_features(*r, total) for r in zip(pdf["word"], pdf["meant"], pdf["shared"], pdf["n_meant"], strict=True)], float).reshape(-1, 8)
-            yield pd.DataFrame({"word": pdf["word"], "meant": pdf["meant"], "chance": boosting.predict(ranker, x)})
+            yield pd.DataFrame({"word": pdf["word"], "meant": pdf["meant"], "at_most": [m // far(w) for w, m in zip(pdf["word"], pdf["n_meant"], strict=True)], "chance": boosting.predict(ranker, x)})
 
     near = shared.where(F.levenshtein("word", "meant") <= 2)
-    return near.mapInPandas(run, "word string, meant string, chance double").where(F.col("chance") >= ACCEPT).groupBy("word").agg(F.max_by("meant", F.struct("chance", "meant")).alias("meant"), F.max("chance").alias("chance"))
+    return near.mapInPandas(run, "word string, meant string, at_most bigint, chance double").where(F.col("chance") >= ACCEPT).groupBy("word").agg(F.max_by("meant", F.struct("chance", "meant")).alias("meant"), F.max_by("at_most", F.struct("chance", "meant")).alias("at_most"), F.max("chance").alias("chance"))
 
 
 def noises(texts: DataFrame, key: str = "text_id", content: str = "content") -> DataFrame:
@@ -451,7 +456,10 @@ def noises(texts: DataFrame, key: str = "text_id", content: str = "content") ->
     breaker = train_breaks(own, content, k)
     passed = cut(line_pass(own, key, content, k, breaker))
     unsure = passed.where("noise = '?'")
-    right = [r[0] for r in unsure.where("n >= 3").select("word").distinct().limit(TRAIN_WORDS // 2).collect()]
-    fixed = corrections(unsure.where("n <= 2").select("word").distinct(), k, train_ranking(k, right))
-    chars = unsure.where("n <= 2").join(fixed, "word", "left_semi").select(key, "line_no", F.lit("char").alias("noise"))
+    # words that stand often in a text are taken as right for training, not those that look misread
+    often = {r["word"]: r["n"] for r in unsure.where("n >= 3").groupBy("word").agg(F.max("n").alias("n")).limit(TRAIN_WORDS // 2).collect()}
+    credible = trusted({**k.words, **often})
+    fixed = corrections(unsure.select("word").distinct(), k, train_ranking(k, [w for w in often if w in credible]))
+    # a word that a text repeats is a misreading only where its meaning is far commoner
+    chars = unsure.join(fixed, "word").where("n <= 2 or n <= at_most").select(key, "line_no", F.lit("char").alias("noise"))
     return passed.where("noise <> '?'").select(key, "line_no", "noise").unionByName(chars).distinct()

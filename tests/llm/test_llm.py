@@ -270,6 +270,18 @@ def test_noises(spark):
     assert scans.noises(df.limit(0)).count() == 0
 
 
+def test_words_misread_again_and_again_in_a_text(spark):
+    rng = random.Random(8)
+    vocabulary = "careful laboratory group measured several blood samples during winter months reported level continuous outcome study patient under normal conditions with mixed success".split()
+    line = lambda: " ".join(rng.choice(vocabulary) for _ in range(8))
+    page = lambda *inside: "\n".join([*(line() for _ in range(6)), *inside, *(line() for _ in range(5)), f"{line()}."])
+    texts = [(i, page(line(), line(), line(), "the lab0ratory was under level")) for i in range(60)]
+    texts.append((100, page(*["the lab0ratory was under level"] * 4)))
+    texts.append((101, page(*["given velraketan during winter"] * 4)))
+    got = scans.noises(spark.createDataFrame(texts, "text_id bigint, content string")).where("text_id >= 100").collect()
+    assert {(r["text_id"], r["line_no"], r["noise"]) for r in got} == {(100, n, "char") for n in (7, 8, 9, 10)}
+
+
 def test_misread_cost():
     assert scans.misread_cost("misdassification", "misclassification") == pytest.approx(0.3)
     assert scans.misread_cost("gr0up", "group") == pytest.approx(0.3)
