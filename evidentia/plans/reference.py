@@ -59,7 +59,13 @@ def _contexts(s: SparkSession, d: str) -> DataFrame:
     return _docs(s, d).where("text <> ''").select(F.col("doc_id").alias("ctx_id"), F.coalesce("dockey", F.lit("none")).alias("dockey"), F.coalesce("doc_kind", F.lit("none")).alias("question"), F.col("source").alias("session"), F.concat(F.lit("chunk "), F.col("doc_id").cast("string")).alias("name"), F.pmod("doc_id", F.lit(11)).cast("int").alias("score"), F.substring("text", 1, 60).alias("context"))
 
 
+def _whole(s: SparkSession, d: str) -> DataFrame:
+    """The contexts with the whole of their texts."""
+    return _contexts(s, d).drop("context").join(_docs(s, d).select(F.col("doc_id").alias("ctx_id"), F.col("text").alias("context")), "ctx_id")
+
+
 _CONTEXTS = "(select doc_id ctx_id, coalesce(dockey,'none') dockey, coalesce(doc_kind,'none') question, source as session, 'chunk '||doc_id as name, (doc_id % 11)::int score, substr(text,1,60) context from documents where text <> '')"
+_WHOLE = _CONTEXTS.replace("substr(text,1,60) context", "text as context")
 _PAGES = "(select text_id dockey, unnest(string_split(content, chr(12))) as text, generate_subscripts(string_split(content, chr(12)),1) page_no from parsed_texts)"
 _CANON = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(doi,'%2f','/'),'%2F','/'),'\s+','','g')),'^(https?://)?([a-z0-9-]+\.)*doi\.org/',''),'^(info:|urn:)?doi[:/]?',''),'^x^',''),'')"
 
@@ -371,6 +377,16 @@ def agg6_joined_text(s, d):
     return aggregates.joined_text(_contexts(s, d), "dockey", "ctx_id", "context").withColumn("body", F.md5("body"))
 
 
+@query(f"select question, min(ctx_id) as first, md5(string_agg(context, chr(10)||chr(10) order by ctx_id)) section from {_WHOLE} group by question")
+def agg5_sections_whole(s, d):
+    return aggregates.sections(_whole(s, d), "question", "ctx_id", "context").withColumn("section", F.md5("section"))
+
+
+@query(f"select dockey, md5(string_agg(context,'' order by ctx_id)) body from {_WHOLE} group by dockey")
+def agg6_joined_text_whole(s, d):
+    return aggregates.joined_text(_whole(s, d), "dockey", "ctx_id", "context").withColumn("body", F.md5("body"))
+
+
 @query(f"select dockey, md5(string_agg(text, chr(10)||chr(10) order by page_no)) body from {_PAGES} group by dockey")
 def agg7_reduced_pages(s, d):
     return aggregates.joined_text(_pages(s, d), "dockey", "page_no", "text", "\n\n").withColumn("body", F.md5("body"))
@@ -864,6 +880,12 @@ def ans2_context(s, d):
     return aggregates.sections(c, "question", "ctx_id", "line")
 
 
+@query(f"select question, md5(string_agg(ctx_id||': '||context, chr(10)||chr(10) order by ctx_id)) section, min(ctx_id) as first from (select * from {_WHOLE} where score>=1) group by question")
+def ans2_context_whole(s, d):
+    c = _whole(s, d).where("score >= 1").withColumn("line", F.concat_ws(": ", F.col("ctx_id").cast("string"), "context"))
+    return aggregates.sections(c, "question", "ctx_id", "line").withColumn("section", F.md5("section"))
+
+
 @query("select doc_id::varchar as session, 'As shown (chunk '||doc_id||').' answer, '1. (chunk '||doc_id||'): '||coalesce(source,'') bibliography from documents where text <> ''")
 def ans4_cited(s, d):
     c = _docs(s, d).where("text <> ''").select(F.col("doc_id").cast("string").alias("session"), F.concat(F.lit("pqac-"), F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8)).alias("ctx_id"), F.concat(F.lit("chunk "), F.col("doc_id").cast("string")).alias("name"), F.coalesce("source", F.lit("")).alias("citation"))

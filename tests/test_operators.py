@@ -105,3 +105,12 @@ def test_bm25_plan_keeps_texts_out_of_shuffles(spark, sf):
 def test_authors_agree(spark):
     df = spark.createDataFrame([(["Jo Smith"], ["J. Smith"]), (["Ann Lee"], ["Bo Kim"]), (None, ["X"])], "a array<string>, b array<string>")
     assert [r[0] for r in df.select(joins.authors_agree("a", "b")).collect()] == [True, False, False]
+
+
+def test_sections_of_whole_texts(spark, sf):
+    from evidentia.plans import reference
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text <> ''")
+    n_chars = docs.selectExpr("sum(length(text))").first()[0]
+    assert reference._whole(spark, sf).selectExpr("sum(length(context))").first()[0] == n_chars
+    assert {"agg5_sections_whole", "agg6_joined_text_whole", "ans2_context_whole"} <= set(reference.queries()) & set(reference.oracle_sql())
