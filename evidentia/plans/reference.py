@@ -922,3 +922,51 @@ def hlp6_source_list(s, d):
 @query("select doc_id, 'data:image/png;base64,'||base64(encode(source)) as url from documents where source is not null")
 def hlp10_data_url(s, d):
     return _docs(s, d).where("source is not null").select("doc_id", T.data_url(F.col("source").cast("binary")).alias("url"))
+
+
+# Over all titles and names: no SQL, as DuckDB's classes of letters differ beyond ASCII
+
+
+@query()
+def jn14_best_title_all(s, d):
+    a = table(s, d, "s2_papers").select(F.col("paper_id").alias("asked_id"), F.col("title").alias("asked_title"))
+    met = providers.by_title(a, _details(s, d).select("record_id", "title"), 0.0).withColumn("similarity", F.round("similarity", 9))
+    best = met.groupBy("asked_id").agg(F.max_by("record_id", F.struct("similarity", (-F.col("record_id")).alias("low"))).alias("candidate_id"), F.max("similarity").alias("similarity"))
+    return best.withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def hlp2_title_lookup_all(s, d):
+    a = table(s, d, "s2_papers").select(F.col("paper_id").alias("asked_id"), F.col("title").alias("asked_title"))
+    return providers.by_title(a, _details(s, d).select("record_id", "title")).select("asked_id", "record_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def str3_similarity_all(s, d):
+    return _details(s, d).select("record_id", F.round(T.similarity("title", "journal"), 6).alias("similarity"))
+
+
+@query()
+def str4_strip_citations_all(s, d):
+    return _details(s, d).where("citation is not null").select("record_id", T.strip_citations("citation").alias("stripped"))
+
+
+@query()
+def str10_accents_all(s, d):
+    return _details(s, d).where("title is not null").select("record_id", T.strip_accents("title").alias("plain"))
+
+
+@query()
+def str13_bibtex_key_all(s, d):
+    own = _details(s, d).where("title is not null and pub_year is not null and authors[0] is not null")
+    return own.select("record_id", M.bibtex_key("authors", "pub_year", "title").alias("key"))
+
+
+@query()
+def str18_given_first_all(s, d):
+    return _details(s, d).select("record_id", F.explode("authors").alias("a")).where("a is not null").select("record_id", T.given_first("a").alias("name"))
+
+
+@query()
+def str22_library_key_all(s, d):
+    return _details(s, d).where("title is not null").select("record_id", T.library_key("docname", "title", F.col("pub_year").cast("string")).alias("key"))
