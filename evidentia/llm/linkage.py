@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,126 +26,150 @@ COMMON_SHARE = 2000  # a word is common in at least one of so many records: at m
 LEVELS = ("rare", "text", "marker", "who", "year")
 SAMPLE = 16  # hot keys are told by the classes of one in so many
 HOT = 2_000  # classes of one key that are joined in one go; more are dealt into blocks of so many
-COMPARED = ("marker", "was_cut", "rare", "lead", "compact", "likely", "names", "year")
 MIN_CONFIDENCE = 0.5
 
 _CORRECTION = re.compile(r"^\W*(?:correction|corrigendum|erratum|retraction|retracted|comment|reply)s?\b(?:\s+(?:to|of|on|for))?\W*")
 _PART = re.compile(r"\W*\bpart\s+(i{1,3}|iv|v|[0-9]+|one|two|three|four)\b\W*$")
 _PARTS = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "one": "1", "two": "2", "three": "3", "four": "4"}
+_WORDS = re.compile(r"[^\W_]+")
+_SIGNS = "-‐‑–—:;,.!?()[]/'’‘“”\"\t\n\r\u00a0"  # between words
 _CUT = re.compile(r"(?:\.\.\.|…)\s*\W*$")
 
 
 def title_parts(title: str | None) -> tuple[str, list[str], bool, int]:
     """(marker, words, whether cut short, words before a colon) of a title in folded lower case."""
     low = folded((title or "").lower())
-    was_cut = bool(_CUT.search(low))
-    low = _CUT.sub("", low)
+    was_cut = ("..." in low or "…" in low) and bool(_CUT.search(low))
+    if was_cut:
+        low = _CUT.sub("", low)
     marker = ""
     m = _CORRECTION.match(low)
     if m:
         marker, low = "c", low[m.end() :]
-    m = _PART.search(low)
+    m = _PART.search(low) if "part" in low else None
     if m:
         marker, low = marker + _PARTS.get(m.group(1), m.group(1)), low[: m.start()]
     main, _, rest = low.partition(":")
-    return marker, re.findall(r"[^\W_]+", low), was_cut, len(re.findall(r"[^\W_]+", main if rest else low))
+    words = _WORDS.findall(low)
+    return marker, words, was_cut, len(_WORDS.findall(main)) if rest else len(words)
+
+
+@lru_cache(200_000)
+def _name_words(author: str) -> tuple[str | None, tuple[str, ...]]:
+    """(likely surname, words of the name) of one author."""
+    got = forms(author)
+    return (got[0][3] if got else None), tuple(w for g in got for w in (g[0], g[3]) if len(w) > 2)
 
 
 def surnames(authors: list[str] | None) -> tuple[list[str], list[str]]:
     """(likely surnames, all words of the names)."""
     likely, words = set(), set()
     for a in authors if authors is not None else ():
-        got = forms(a) if a else []
-        if got:
-            likely.add(got[0][3])
-            for g in got:
-                words.update(w for w in (g[0], g[3]) if len(w) > 2)
+        if a:
+            one, all_of = _name_words(a)
+            if one is not None:
+                likely.add(one)
+            words.update(all_of)
     return sorted(likely), sorted(words)
 
 
-def features(df: DataFrame, key: str) -> DataFrame:
-    """One row per class of equal records: its words, marker, surnames and year, and the class."""
+def features(df: DataFrame, key: str, common: frozenset[str]) -> DataFrame:
+    """One row per record: its class of equal records, and what the class is compared by.
+
+    ``rare`` are the title's words outside ``common``, ``frame`` those of its main title within.
+    """
     kind = df.schema[key].dataType.simpleString()
+    sent = df.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        common = sent.value
         for pdf in batches:
             rows = []
             for k, t, a, y in zip(pdf[key], pdf["title"], pdf["authors"], pdf["year"], strict=True):
                 marker, words, was_cut, n_main = title_parts(t)
                 likely, names = surnames(a)
-                rows.append((k, marker, words, was_cut, n_main, likely, names, y))
-            yield pd.DataFrame(rows, columns=[key, "marker", "words", "was_cut", "n_main", "likely", "names", "year"]).astype({"year": "Int32"})
+                if words or len(likely) > 1:
+                    rare = list(dict.fromkeys(w for w in words if w not in common))
+                    frame = " ".join(w for w in words[: max(1, n_main)] if w in common)
+                    rows.append((k, marker, was_cut, rare, frame, words[0] if words else None, " ".join(words), likely, names, y))
+            yield pd.DataFrame(rows, columns=[key, "marker", "was_cut", "rare", "frame", "lead", "text", "likely", "names", "year"]).astype({"year": "Int32"})
 
-    schema = f"{key} {kind}, marker string, words array<string>, was_cut boolean, n_main int, likely array<string>, names array<string>, year int"
+    schema = f"{key} {kind}, marker string, was_cut boolean, rare array<string>, frame string, lead string, text string, likely array<string>, names array<string>, year int"
     own = widen(df.select(key, "title", "authors", F.col("pub_year").cast("int").alias("year"))).mapInPandas(run, schema)
-    return own.where("size(words) > 0 or size(likely) > 1").withColumn("class", F.xxhash64("marker", "words", "was_cut", "likely", "names", "year"))
+    return own.withColumn("class", F.xxhash64("marker", "text", "was_cut", "frame", "likely", "names", "year"))
+
 
+def common_words(*sides: DataFrame) -> frozenset[str]:
+    """The title words in at least one of ``COMMON_SHARE`` records, folded.
 
-def common_words(*sides: DataFrame) -> list[str]:
-    """The words in at least one of ``COMMON_SHARE`` records; their number is bounded by that."""
+    Their number is at most ``COMMON_SHARE`` times the words of a title, whatever the number of
+    records.
+    """
     words = None
     for s in sides:
-        one = s.select(F.explode(F.array_distinct("words")).alias("word"))
-        words = one if words is None else words.unionByName(one)
+        plain = F.translate(F.lower("title"), _SIGNS, " " * len(_SIGNS))
+        one = s.select(F.explode(F.array_distinct(F.split(plain, " "))).alias("word"))
+        words = one if words is None else words.unionAll(one)
     n = sum(s.count() for s in sides)
     counts = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= max(12, n // COMMON_SHARE))
-    return [r["word"] for r in counts.collect()]
+    return frozenset(w for r in counts.collect() for w in _WORDS.findall(folded(r["word"])))
 
 
-def _classes(rows: DataFrame, common: Column) -> DataFrame:
-    one = rows.dropDuplicates(["class"]).select("class", "marker", "words", "was_cut", "n_main", "likely", "names", "year")
-    one = one.withColumn("rare", F.array_distinct(F.filter("words", lambda w: ~F.array_contains(common, w))))
-    main = F.slice("words", F.lit(1), F.greatest("n_main", F.lit(1)))
-    frame = F.array_join(F.filter(main, lambda w: F.array_contains(common, w)), " ")
-    return one.withColumn("frame", frame).withColumn("lead", F.get("words", F.lit(0))).withColumn("compact", F.array_join("words", ""))
+def _classes(rows: DataFrame) -> DataFrame:
+    one = rows.dropDuplicates(["class"]).select("class", "marker", "was_cut", "rare", "frame", "lead", "text", "likely", "names", "year")
+    return one.withColumn("compact", F.replace("text", F.lit(" "), F.lit("")))
 
 
-def _ends(heads: Column) -> Column:
-    """Keys of both ends of a title's letters without blanks, each with every one of ``heads``.
+def _keys(c: DataFrame, right: bool) -> DataFrame:
+    """Blocking keys of a class, of all passes: (class, key).
 
-    One misread word, a moved blank or a cut leaves one end whole; short titles give shorter ends.
+    First passes: each rare word; either end of the longest one with the frame; a name with year
+    and frame; the whole title where no word is rare. Later passes need neither rare words nor the
+    frame: all letters of the title; two surnames with the year; both ends of the title's letters,
+    each with every name, or with the year where one side has no name. One misread word, a moved
+    blank or a cut leaves one end whole; short titles give shorter ends. The lowest bit of a key
+    is 1 for the first passes, which the levels are learned from.
     """
+    titled, none, no_key = F.col("text") != "", F.array().cast("array<string>"), F.array().cast("array<bigint>")
+    own = "names" if right else "likely"
     n = F.length("compact")
-    out = []
+    ends = []
     for k, given in ((20, n >= 20), (12, (n >= 12) & (n < 45)), (7, (n >= 7) & (n < 27))):
         for side, letters in (("p", F.substring("compact", 1, k)), ("q", F.substring(F.reverse("compact"), 1, k))):
-            with_end = partial(F.xxhash64, F.xxhash64(F.lit(f"{side}{k}"), letters))
-            out.append(F.when(given, F.transform(heads, lambda h: with_end(h))).otherwise(F.array().cast("array<bigint>")))  # noqa: B023
-    return F.concat(*out)
-
-
-def _keys(c: DataFrame, right: bool) -> DataFrame:
-    """Blocking keys of a class, of all passes: (class, key).
-
-    The lowest bit of a key is 1 for the passes that the levels are learned from.
-    """
-    longest = F.get(F.array_sort(F.transform("rare", lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), F.lit(0))["w"]
-    by_word = F.transform("rare", lambda w: F.concat(F.lit("w|"), w))
-    by_start = F.array(F.concat_ws("|", F.lit("s"), F.substring(longest, 1, 4), "frame"), F.concat_ws("|", F.lit("e"), F.substring(F.reverse(longest), 1, 5), "frame"))
-    names = F.col("names" if right else "likely")
-    by_name = F.transform(names, lambda n: F.concat_ws("|", F.lit("n"), n, F.col("year").cast("string"), "frame"))
-    none = F.array().cast("array<string>")
-    whole = F.when((F.size("words") > 0) & (F.size("rare") == 0), F.array(F.concat(F.lit("t|"), F.array_join("words", " ")))).otherwise(none)
-    first = F.concat(by_word, F.when(F.size("rare") > 0, by_start).otherwise(none), F.when(F.col("year").isNotNull() & (F.size("words") > 0), by_name).otherwise(none), whole)
-    # the passes below need neither the rare words nor the frame
-    no_key = F.array().cast("array<bigint>")
-    letters = F.when(F.col("compact") != "", F.array(F.xxhash64(F.lit("c"), "compact"))).otherwise(no_key)
-    years = F.array(*[F.col("year") + k for k in ((-1, 0, 1) if right else (0,))])
-    years = F.when(F.col("year").isNotNull(), years).otherwise(F.array().cast("array<int>"))
-    duo = F.expr("flatten(transform(likely, (x, i) -> transform(slice(likely, i + 2, size(likely)), y -> xxhash64('d', x, y))))")
-    by_duo = F.flatten(F.transform(duo, lambda d: F.transform(years, lambda y: F.xxhash64(d, y))))
-    by_end = _ends(F.transform(names, lambda n: F.xxhash64(F.lit("n"), n)))
+            ends.append(F.when(given, F.xxhash64(F.lit(f"{side}{k}"), letters)))
+    years = F.when(F.col("year").isNotNull(), F.array(*[F.col("year") + k for k in ((-1, 0, 1) if right else (0,))])).otherwise(F.array().cast("array<int>"))
     # a class without names meets the ends of all others by the year: left ones under l, right ones under r
     mine, others = ("r", "l") if right else ("l", "r")
-    tagged = lambda tag: F.transform(years, lambda y: F.xxhash64(F.lit(tag), y))
-    by_end_year = _ends(F.concat(tagged(others), F.when(F.size("names") == 0, tagged(mine)).otherwise(no_key)))
-    later = F.concat(letters, by_duo, by_end, by_end_year)
+    duo = "flatten(transform(likely, (x, i) -> transform(slice(likely, i + 2, size(likely)), y -> xxhash64('d', x, y))))"
+    # columns of their own, so that each is computed once
+    c = c.select(
+        "class", "rare", "text", "frame", "year", "compact", own, years.alias("years"),
+        F.array_compact(F.array(*ends)).alias("ends"),
+        F.array_max(F.transform("rare", lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))["w"].alias("longest"),
+        F.expr(duo).alias("duo"),
+    )
+    tagged = lambda tag: F.transform("years", lambda y: F.xxhash64(F.lit(tag), y))
+    heads = F.concat(F.transform(own, lambda x: F.xxhash64(F.lit("n"), x)), tagged(others), F.when(F.size(own) == 0, tagged(mine)).otherwise(no_key))
+    c = c.withColumn("heads", heads)
+    by_start = F.array(F.concat_ws("|", F.lit("s"), F.substring("longest", 1, 4), "frame"), F.concat_ws("|", F.lit("e"), F.substring(F.reverse("longest"), 1, 5), "frame"))
+    by_name = F.transform(own, lambda x: F.concat_ws("|", F.lit("n"), x, F.col("year").cast("string"), "frame"))
+    first = F.concat(
+        F.transform("rare", lambda w: F.concat(F.lit("w|"), w)),
+        F.when(F.size("rare") > 0, by_start).otherwise(none),
+        F.when(F.col("year").isNotNull() & titled, by_name).otherwise(none),
+        F.when(titled & (F.size("rare") == 0), F.array(F.concat(F.lit("t|"), "text"))).otherwise(none),
+    )
+    later = F.concat(
+        F.when(titled, F.array(F.xxhash64(F.lit("c"), "compact"))).otherwise(no_key),
+        F.flatten(F.transform("duo", lambda d: F.transform("years", lambda y: F.xxhash64(d, y)))),
+        F.flatten(F.transform("ends", lambda e: F.transform("heads", lambda h: F.xxhash64(h, e)))),
+    )
     keys = F.concat(
         F.transform(first, lambda k: F.shiftleft(F.xxhash64(k), 1).bitwiseOR(F.lit(1))),
         F.transform(later, lambda k: F.shiftleft(k, 1)),
     )
-    # classes are distinct rows
-    return c.select("class", F.explode(F.array_distinct(keys)).alias("key"))
+    # classes are distinct rows; a key that two ways of one class share is proposed twice at most
+    return c.select("class", F.explode(keys).alias("key"))
 
 
 def _propose(ca: DataFrame, cb: DataFrame) -> DataFrame:
@@ -168,29 +193,54 @@ def _propose(ca: DataFrame, cb: DataFrame) -> DataFrame:
     return met.groupBy("class", "class_b").agg(F.max(F.col("key").bitwiseAND(F.lit(1))).cast("int").alias("first"))
 
 
+def _packed(c: DataFrame) -> DataFrame:
+    """Only what is compared travels with the pairs, lists as one string and names as hashes."""
+    return c.select("class", "marker", "was_cut", "text", F.array_join("rare", " ").alias("rare"), F.array_join("likely", "|").alias("likely"), F.transform("names", lambda x: F.hash(x)).alias("names"), "year")
+
+
+def _unpacked(met: DataFrame, side: str) -> DataFrame:
+    parts = lambda c, sign: F.when(F.col(c + side) == "", F.array().cast("array<string>")).otherwise(F.split(c + side, sign))
+    lists = {"rare" + side: parts("rare", " "), "likely" + side: parts("likely", r"\|")}
+    return met.withColumns({**lists, "lead" + side: F.substring_index("text" + side, " ", 1), "compact" + side: F.replace("text" + side, F.lit(" "), F.lit(""))})
+
+
 def _untitled() -> Column:
     return (F.col("compact") == "") | (F.col("compact_b") == "")
 
 
+def _other_title() -> Column:
+    """Titles with different markers (a correction, another part) are different titles."""
+    return _marker_level() == 0
+
+
 def _rare_level() -> Column:
     """Agreement of the rare words: 0 differ, 1 follow-up (one leads with a new word), 2 one lacks
-    a word, 3 a misspelling, 4 the same, 5 no title."""
-    a, b = F.array_except("rare", "rare_b"), F.array_except("rare_b", "rare")
-    typo = (F.size(a) == 1) & (F.size(b) == 1) & (F.levenshtein(F.get(a, F.lit(0)), F.get(b, F.lit(0))) <= 2)
-    shared = F.size(F.array_intersect("rare", "rare_b")) > 0
-    leads = ((F.size(a) == 1) & (F.size(b) == 0) & (F.get(a, F.lit(0)) == F.col("lead")) & shared) | ((F.size(b) == 1) & (F.size(a) == 0) & (F.get(b, F.lit(0)) == F.col("lead_b")) & shared)
+    a word, 3 a misspelling, 4 the same, 5 no title, 6 another title by its marker, 7 only one title has any."""
+    a, b = F.col("only"), F.col("only_b")
+    shared = F.size(a) < F.size("rare")
+    typo = (F.size(a) == 1) & (F.size(b) == 1) & (F.levenshtein(F.get(a, F.lit(0)), F.get(b, F.lit(0)), 2) >= 0)
+    leads = ((F.size(a) == 1) & (F.size(b) == 0) & (F.get(a, F.lit(0)) == F.col("lead")) & (F.size("rare_b") > 0)) | ((F.size(b) == 1) & (F.size(a) == 0) & (F.get(b, F.lit(0)) == F.col("lead_b")) & shared)
     lacks = ((F.size(a) == 0) | (F.size(b) == 0)) & (F.size(a) + F.size(b) <= 2)
-    return F.when(_untitled(), 5).when((F.size(a) == 0) & (F.size(b) == 0), 4).when(typo, 3).when(leads, 1).when(lacks, 2).otherwise(0)
+    return F.when(_untitled(), 5).when(_other_title(), 6).when((F.size(a) == 0) & (F.size(b) == 0), 4).when(typo, 3).when(leads, 1).when((F.size("rare") == 0) | (F.size("rare_b") == 0), 7).when(lacks, 2).otherwise(0)
 
 
 def _text_level() -> Column:
-    """0 unlike, 1 a part, 2 close, 3 the same but for spaces, 4 no title."""
+    """0 unlike, 1 a part, 2 close, 3 the same but for spaces, 4 no title, 5 another title, however
+    many letters it shares: a correction's, another part's or a follow-up's."""
     a, b = F.col("compact"), F.col("compact_b")
     short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     # edits are counted as far as the limit and are -1 beyond
     within = lambda x, y, most: F.call_function("levenshtein", x, y, F.floor(most).cast("int")) >= 0
-    head, head_b = (F.expr(f"left({c}, least(length(compact), length(compact_b)))") for c in ("compact", "compact_b"))
-    return F.when(_untitled(), 4).when(a == b, 3).when(within(a, b, F.greatest(F.lit(2), long * 0.12)), 2).when((short >= 15) & within(head, head_b, short * 0.08 + 1), 1).otherwise(0)
+    head, head_b = F.substring(a, F.lit(1), short), F.substring(b, F.lit(1), short)
+    most = F.floor(F.greatest(F.lit(2), long * 0.12))
+    return (
+        F.when(_untitled(), 4)
+        .when(_other_title() | (F.col("rare_level") == 1), 5)
+        .when(a == b, 3)
+        .when((long - short <= most) & within(a, b, most), 2)
+        .when((short >= 15) & within(head, head_b, short * 0.08 + 1), 1)
+        .otherwise(0)
+    )
 
 
 def _marker_level() -> Column:
@@ -201,8 +251,9 @@ def _marker_level() -> Column:
 def _who_level() -> Column:
     """0 nobody shared, 1 unknown, 2 near, 3 some, 4 all of the shorter list, 5 and three or more."""
     n = F.least(F.size("likely"), F.size("likely_b"))
-    m = F.greatest(F.size(F.array_intersect("likely", "names_b")), F.size(F.array_intersect("likely_b", "names")))
-    near = F.exists("likely", lambda x: F.exists("likely_b", lambda y: F.levenshtein(x, y) <= 2))
+    known = lambda own, other: F.size(F.filter(own, lambda x: F.array_contains(other, F.hash(x))))
+    m = F.greatest(known("likely", "names_b"), known("likely_b", "names"))
+    near = F.exists("likely", lambda x: F.exists("likely_b", lambda y: F.levenshtein(x, y, 2) >= 0))
     return F.when(n == 0, 1).when((m >= n) & (n >= 3), 5).when(m >= n, 4).when(m > 0, 3).when(near, 2).otherwise(0)
 
 
@@ -214,8 +265,8 @@ def _year_level() -> Column:
 
 # Where the learning starts, as chances of each level among matches and others.
 _START = {
-    "rare": ([0.01, 0.01, 0.07, 0.10, 0.79, 0.02], [0.60, 0.05, 0.15, 0.05, 0.13, 0.02]),
-    "text": ([0.03, 0.07, 0.20, 0.68, 0.02], [0.75, 0.05, 0.09, 0.09, 0.02]),
+    "rare": ([0.01, 0.005, 0.05, 0.10, 0.79, 0.02, 0.005, 0.02], [0.50, 0.05, 0.10, 0.05, 0.13, 0.02, 0.05, 0.10]),
+    "text": ([0.03, 0.07, 0.20, 0.675, 0.02, 0.005], [0.65, 0.05, 0.09, 0.09, 0.02, 0.10]),
     "marker": ([0.01, 0.04, 0.95], [0.30, 0.05, 0.65]),
     "who": ([0.02, 0.12, 0.05, 0.06, 0.40, 0.35], [0.60, 0.12, 0.03, 0.15, 0.08, 0.02]),
     "year": ([0.02, 0.10, 0.03, 0.10, 0.75], [0.70, 0.10, 0.05, 0.05, 0.10]),
@@ -253,25 +304,24 @@ def link(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> Da
     apart by their markers. Empty tables give an empty result. Extra columns are not read.
     """
     spark = left.sparkSession
-    a, b = cut(features(left, left_key)), cut(features(right, right_key))
-    common = F.lit(sorted(common_words(a, b)))
-    ca, cb = cut(_classes(a, common)), cut(_classes(b, common))
+    common = common_words(left, right)
+    a, b = cut(features(left, left_key, common)), cut(features(right, right_key, common))
+    ca, cb = cut(_classes(a)), cut(_classes(b))
     pairs = _propose(ca, cb)
-    # only what is compared travels with the pairs
-    one = ca.select("class", *COMPARED)
-    other = cb.select(F.col("class").alias("class_b"), *[F.col(c).alias(f"{c}_b") for c in COMPARED])
+    one = _packed(ca)
+    other = _packed(cb).select(*[F.col(c).alias(f"{c}_b") for c in one.columns])
     met = pairs.join(other, "class_b").join(one, "class")
-    compared = cut(met.select("class", "class_b", F.when(F.col("compact") == "", 1).otherwise(F.col("first")).alias("first"), _rare_level().alias("rare"), _text_level().alias("text"), _marker_level().alias("marker"), _who_level().alias("who"), _year_level().alias("year")))
-    # another marker or a new leading word makes another work, whatever else agrees
-    compared = compared.where("marker > 0 and rare <> 1")
+    levels = _unpacked(_unpacked(met, ""), "_b")
+    levels = levels.withColumn("only", F.array_except("rare", "rare_b")).withColumn("only_b", F.array_except("rare_b", "rare")).withColumn("rare_level", _rare_level())
+    compared = cut(levels.select("class", "class_b", F.when(F.col("compact") == "", 1).otherwise(F.col("first")).alias("first"), F.col("rare_level").alias("rare"), _text_level().alias("text"), _marker_level().alias("marker"), _who_level().alias("who"), _year_level().alias("year")))
     patterns = compared.groupBy(*LEVELS).agg(F.sum("first").alias("n"), F.count("*").alias("n_all")).toPandas()
     if not len(patterns):
         return a.join(b, "class").select(left_key, right_key, F.lit(1.0).alias("confidence")).limit(0)
     # the levels are learned from the first passes (and pairs without a title): the others meet many
     # unlike pairs with a name or a year in common, which would shift the shares of those levels
     patterns["n"] = patterns["n"] if patterns["n"].sum() else patterns["n_all"]
-    scored = spark.createDataFrame(learn(patterns.drop(columns="n_all")).astype({f: "int32" for f in LEVELS}).drop(columns="n"))
-    # at most the product of the level counts, 2700 rows
+    scored = spark.createDataFrame(pa.Table.from_pandas(learn(patterns.drop(columns="n_all")).astype({f: "int32" for f in LEVELS}).drop(columns="n"), preserve_index=False))
+    # at most the product of the level counts, 4320 rows
     sure = compared.join(F.broadcast(scored), list(LEVELS)).where(F.col("confidence") >= MIN_CONFIDENCE)
     return (
         sure.select("class", "class_b", "confidence")

@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -46,11 +47,23 @@ GROUP_MODES = {"study": "study", "stud": "study", "working": "working", "work":
 _FORM = "spelling string, n bigint, given string, how string, middle string, surname string, order int"
 
 
+_BLANKS = re.compile(r"\s+")
+_TO_LATIN = str.maketrans(TO_LATIN)
+_WORDS = re.compile(r"[a-z0-9'’-]+")
+_GROUP = re.compile("|".join(sorted(GROUP_KINDS, key=len, reverse=True)))
+_PARTS = re.compile(r"[^\s,]+")
+_INITIAL = re.compile(r"(?:[a-z]\.?-?){1,3}")
+_CAPITALS = re.compile(r"[A-Z]{2,3}")
+_LETTER = re.compile(r"[^\W\d_]")
+_GLUED = re.compile(r"((?:[A-Za-z]\.)+)([A-Za-z][\w'’-]+)")  # J.Keissushaw
+
+
 def folded(name: str) -> str:
     """Plain letters: Latin look-alikes, no accents, ordinary blanks."""
-    s = "".join(TO_LATIN.get(c, c) for c in base_form(name))
-    s = "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
-    return re.sub(r"\s+", " ", s).strip()
+    if name.isascii():
+        return _BLANKS.sub(" ", name).strip()
+    s = unicodedata.normalize("NFD", base_form(name).translate(_TO_LATIN))
+    return _BLANKS.sub(" ", "".join(c for c in s if not unicodedata.combining(c))).strip()
 
 
 def forms(spelling: str) -> list[tuple[str, str, str, str, int]]:
@@ -61,7 +74,7 @@ def forms(spelling: str) -> list[tuple[str, str, str, str, int]]:
     """
     s = folded(spelling)
     low = s.lower()
-    words = re.findall(r"[a-z0-9'’-]+", low)
+    words = _WORDS.findall(low) if _GROUP.search(low) else []
     kinds = [GROUP_KINDS[w] for w in words if w in GROUP_KINDS]
     if kinds:
         modes = [GROUP_MODES[w] for w in words if w in GROUP_MODES]
@@ -83,7 +96,7 @@ def forms(spelling: str) -> list[tuple[str, str, str, str, int]]:
     # initials in capitals at the end: Surname FM
     raw = _tokens(s)
     tail = len(raw)
-    while tail > 1 and (_is_initial(tokens[tail - 1]) or (re.fullmatch(r"[A-Z]{2,3}", raw[tail - 1]) and not s.isupper() and tail == len(raw))):
+    while tail > 1 and (_is_initial(tokens[tail - 1]) or (_CAPITALS.fullmatch(raw[tail - 1]) and not s.isupper() and tail == len(raw))):
         tail -= 1
     if tail < len(raw):
         firsts = [c for t in tokens[tail:] for c in t.strip(".").replace(".", "")]
@@ -109,20 +122,27 @@ def forms(spelling: str) -> list[tuple[str, str, str, str, int]]:
     return out
 
 
+@lru_cache(200_000)
 def _is_initial(token: str) -> bool:
-    return bool(re.fullmatch(r"(?:[a-z]\.?-?){1,3}", token)) and ("." in token or len(token) == 1)
+    return (len(token) == 1 or "." in token) and bool(_INITIAL.fullmatch(token))
+
+
+@lru_cache(200_000)
+def _parts_of(token: str) -> tuple[str, ...]:
+    """A token, parted where initials are glued to a surname; nothing for suffixes and signs."""
+    if token.strip(".").lower() in SUFFIXES or not _LETTER.search(token):
+        return ()
+    m = _GLUED.fullmatch(token) if "." in token else None
+    return m.groups() if m else (token,)
 
 
 def _tokens(text: str) -> list[str]:
     out: list[str] = []
-    found = re.findall(r"[^\s,]+", text)
+    found = _PARTS.findall(text)
     for k, t in enumerate(found):
-        bare = t.strip(".").lower()
-        title = bare in TITLES and (t.endswith(".") or k == 0 and len(found) > 1)
-        if title or bare in SUFFIXES or not re.search(r"[^\W\d_]", t):
-            continue
-        m = re.fullmatch(r"((?:[A-Za-z]\.)+)([A-Za-z][\w'’-]+)", t)  # J.Keissushaw
-        out += [m.group(1), m.group(2)] if m else [t]
+        title = t.strip(".").lower() in TITLES and (t.endswith(".") or k == 0 and len(found) > 1)
+        if not title:
+            out += _parts_of(t)
     return out
 
 

@@ -196,8 +196,8 @@ def test_hot_keys_leave_no_pair_out(spark, monkeypatch):
     left = [(i, "Editorial", None if i % 3 else [f"Vera Nachname{i}"], 2000 + i % 4) for i in range(23)]
     right = [(100 + i, "Editorial", None if i % 2 else [f"Otto Anders{i}"], None) for i in range(17)]
     a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
-    common = F.lit(["editorial"])
-    ca, cb = (linkage._classes(linkage.features(x, "record_id"), common) for x in (a, b))
+    common = frozenset(["editorial"])
+    ca, cb = (linkage._classes(linkage.features(x, "record_id", common)) for x in (a, b))
     n = ca.count() * cb.count()
     assert n > 20
     monkeypatch.setattr(linkage, "SAMPLE", 1)
@@ -217,9 +217,9 @@ def test_titles_with_a_moved_blank_meet(spark):
     ]
     a = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], schema)
     b = spark.createDataFrame([(i, *c[3:]) for i, c in enumerate(cases)], schema)
-    fa, fb = linkage.features(a, "record_id"), linkage.features(b, "record_id")
-    common = F.lit(["early", "exposure", "shifts", "heat", "transfer", "limits", "of", "in", "predicting", "frost", "damage", "does", "improve", "air", "quality", "old", "schools", "is", "safe", "dogs"])
-    met = linkage._propose(linkage._classes(fa, common), linkage._classes(fb, common))
+    common = frozenset("early exposure shifts heat transfer limits of in predicting frost damage does improve air quality old schools is safe dogs".split())
+    fa, fb = linkage.features(a, "record_id", common), linkage.features(b, "record_id", common)
+    met = linkage._propose(linkage._classes(fa), linkage._classes(fb))
     got = met.join(fa.select("class", "record_id"), "class").join(fb.select(F.col("class").alias("class_b"), F.col("record_id").alias("other")), "class_b")
     assert {r["record_id"] for r in got.collect() if r["record_id"] == r["other"]} == set(range(len(cases)))
 
@@ -234,7 +234,7 @@ def test_text_levels_equal_full_edit_distances(spark):
             k = rng.randrange(len(y) + 1)
             y[k : k + rng.randrange(2)] = rng.choice(("", "a", "f"))
         rows.append((x, "".join(y)[: rng.choice((99, 20))]))
-    df = spark.createDataFrame(rows, "compact string, compact_b string").withColumn("short", F.expr("least(length(compact), length(compact_b))")).withColumn("long", F.expr("greatest(length(compact), length(compact_b))"))
+    df = spark.createDataFrame(rows, "compact string, compact_b string").withColumn("rare_level", F.lit(0)).withColumn("marker", F.lit("")).withColumn("marker_b", F.lit("")).withColumn("was_cut", F.lit(False)).withColumn("was_cut_b", F.lit(False)).withColumn("short", F.expr("least(length(compact), length(compact_b))")).withColumn("long", F.expr("greatest(length(compact), length(compact_b))"))
     full = F.expr("case when compact = '' or compact_b = '' then 4 when compact = compact_b then 3 when levenshtein(compact, compact_b) <= greatest(2, long * 0.12) then 2 when levenshtein(left(compact, short), left(compact_b, short)) <= short * 0.08 + 1 and short >= 15 then 1 else 0 end")
     got = df.select(linkage._text_level().alias("got"), full.alias("full")).collect()
     assert all(r["got"] == r["full"] for r in got)
