@@ -401,3 +401,38 @@ def test_json_keys(spark):
     df = spark.createDataFrame([(x,) for x in ('{"a": 1}', "[1]", '{"a": "", "b": 0}', None, '{"a": 1} x', json.dumps({"k": {}}))], "other string")
     assert [r[0] for r in df.select(representative.json_keys("other")).collect()] == [1, None, 1, None, None, 0]
     assert df.select(F.lit(1)).count() == 6
+
+
+def test_currency_closes_the_order_and_breaks_cycles(spark):
+    import datetime as dt
+
+    day = lambda d: dt.datetime(2020, 1, d)
+    rows, k = [], 0
+
+    def add(doi, at, value):
+        nonlocal k
+        k += 1
+        rows.append((k, doi, at, None, value, None, None, "w"))
+        return k
+
+    for g in range(4):  # draft -> proof -> final, and once the other way round
+        add(f"10.1/a{g}", day(1), "draft"), add(f"10.1/a{g}", day(2), "proof")
+        add(f"10.1/b{g}", day(1), "proof"), add(f"10.1/b{g}", day(2), "final")
+    add("10.1/c", day(1), "final"), add("10.1/c", day(2), "draft")
+    first = {
+        "chain": add("10.2/u", None, "draft"), "beats": add("10.2/v", day(9), "draft"), "stays": add("10.2/w", day(9), "final"), "open": add("10.2/x", day(9), "elsewhere"),
+    }
+    add("10.2/u", None, "final"), add("10.2/v", None, "final"), add("10.2/w", None, "draft"), add("10.2/x", None, "final")
+    got = {r["first_record_id"]: r["value"] for r in representative.current_values(_records(spark, rows), ["journal"]).collect()}
+    assert got[first["chain"]] == "final"  # by way of a value that its group doesn't hold
+    assert got[first["beats"]] == "final"  # an untimed value that follows a timed one
+    assert got[first["stays"]] == "final" and got[first["open"]] == "elsewhere"
+    steps = representative.transitions(spark.createDataFrame([("w1", "f", 1, day(1)), ("w1", "f", 2, day(2)), ("w2", "f", 2, day(1)), ("w2", "f", 3, day(2)), ("w3", "f", 3, day(1)), ("w3", "f", 1, day(2))], "work string, field_name string, v bigint, at timestamp"))
+    assert steps.count() < 3  # a cycle of three loses a step
+
+
+def test_bibtex_of_any_depth():
+    deep = "@article{a, title={x {y {z {deep {er}}}}}, note = \"q {r}\", year = 2020, empty={ {} }}"
+    assert representative.scanned_fields(deep) == 3
+    assert representative.scanned_fields(deep[:-1]) is None and representative.scanned_fields(None) is None
+    assert representative.scanned_fields("@misc{a, title={x}, ye}") is None
