@@ -65,3 +65,18 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
     for tree in model["trees"]:
         score += _tree(tree, x)
     return 1 / (1 + np.exp(-score))
+
+
+def scorer(model: dict, accept: float = 0.5):
+    """A yes-no function of one row as a list, for callers that judge row by row."""
+    start, trees = model["start"], model["trees"]
+    need = float(np.log(accept / (1 - accept)))
+
+    def judge(x: list[float]) -> bool:
+        score = start
+        for f, at, (a, b) in trees:
+            f2, at2, low, high = a if x[f] <= at else b
+            score += low if x[f2] <= at2 else high
+        return score >= need
+
+    return judge

@@ -53,6 +53,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.noises(table(spark, sf_dir, "parsed_texts"))
 
 
+def p7_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired(table(spark, sf_dir, "parsed_texts"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p5_matches": p5_matches,
         "p7_found": p7_found,
+        "p7_text": p7_text,
         "p8_ids": p8_ids,
         "p9_found": p9_found,
         "p10_found": p10_found,

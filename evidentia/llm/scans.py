@@ -1,9 +1,13 @@
 """Repair of text from scanned pages: broken words, misread words, running lines, page numbers.
 
-Counts over the whole corpus give the common words and the lines common at page edges, both lists
-bounded by the share they need. Line-pair classifiers part running lines and page numbers from text
-and broken words from compounds. Misread words find their candidates through a join on character
-q-grams; gradient-boosted trees, trained on words misread on purpose, choose among them.
+Counts over the whole corpus tell how often each word occurs, and each line at page edges and
+elsewhere. Two line-pair classifiers, boosted trees (``llm/boosting.py``), part running lines and
+page numbers from text, and broken words from compounds. Misread words find their candidates
+through a join on character q-grams; trees, trained on words misread on purpose, choose among them.
+``noises`` lists what was found, ``repaired`` gives the texts as continuous paragraphs.
+
+The classifiers are fitted on ``TRAIN_TEXTS`` texts of at most ``TRAIN_CHARS`` characters, taken by
+the hash of their keys, and on at most ``TRAIN_WORDS`` words. Everything else covers all texts.
 """
 
 from __future__ import annotations
@@ -14,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import boosting
-from evidentia.session import cut, widen
+from evidentia.session import cut, spread, widen
 
-WORD_SHARE = 50_000  # a word is common if it makes at least one in so many words
-EDGE_SHARE = 2_000  # a line is known at edges if it is in at least one in so many texts
+WORD_SHARE = 50_000  # words that make at least one in so many are sent to all tasks and never doubted
+SUPPORT = 3  # a word needs so many occurrences in the corpus to be what another one means
+EDGE_LINES = 3  # lines at either end of a page that may be furniture
+EDITS = 2  # between a misread word and its meaning; 1 for words of less than five letters
+TRAIN_TEXTS, TRAIN_CHARS = 500, 200_000
 TRAIN_WORDS = 4_000  # common words misread on purpose, and rare words taken as right, for training
 ACCEPT = 0.5
 
@@ -65,8 +72,8 @@ def edge_lines(lines: list[str]) -> tuple[set[int], set[int]]:
     """(lines that may be furniture at the top, at the bottom) of any page."""
     top, bottom = set(), set()
     for p in pages_of(lines):
-        top.update(p[:2])
-        bottom.update(p[-3:])
+        top.update(p[:EDGE_LINES])
+        bottom.update(p[-EDGE_LINES:])
     return top, bottom
 
 
@@ -87,13 +94,7 @@ def counts(texts: DataFrame, key: str, content: str) -> DataFrame:
                 at_edge = top | bottom
                 edge.update({normal_line(lines[i]) for i in at_edge if len(lines[i]) < 90})
                 mid.update({normal_line(x) for i, x in enumerate(lines) if i not in at_edge and len(x) < 60})
-                broken = False
-                for line in lines:
-                    found = _WORD.findall(line.lower())
-                    if broken and found:
-                        found = found[1:]
-                    broken = _break(line) is not None
-                    words.update(found[:-1] if broken else found)
+                words.update(_counted(lines, [_WORD.findall(x) for x in text.lower().split("\n")]))
             rows = [("word", k, n) for k, n in words.items()] + [("edge", k, n) for k, n in edge.items() if k] + [("mid", k, n) for k, n in mid.items() if k]
             yield pd.DataFrame(rows, columns=["kind", "item", "n"])
 
@@ -101,10 +102,10 @@ def counts(texts: DataFrame, key: str, content: str) -> DataFrame:
 
 
 class Known:
-    """The bounded lists: common words with counts, lines known at edges and elsewhere."""
+    """The common words with their counts, of bounded number, and the number of all words."""
 
-    def __init__(self, words: dict[str, int], edges: dict[str, int], mids: dict[str, int], total: int):
-        self.words, self.edges, self.mids, self.total = words, edges, mids, total
+    def __init__(self, words: dict[str, int], total: int):
+        self.words, self.total = words, total
         self.tails = Counter()
         self.heads = Counter()
         for w, n in words.items():
@@ -135,72 +136,129 @@ def trusted(words: dict[str, int]) -> dict[str, int]:
     return {w: n for w, n in words.items() if not doubtful(w, n)}
 
 
-def known(texts: DataFrame, key: str, content: str) -> Known:
-    all_counts = cut(counts(texts, key, content))
-    sums = {r["kind"]: r["n"] for r in all_counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
-    n_texts = texts.count()
-    need = {"word": max(8, sums.get("word", 0) // WORD_SHARE), "edge": max(3, n_texts // EDGE_SHARE), "mid": max(3, n_texts // EDGE_SHARE)}
-    # an edge or mid list holds at most EDGE_SHARE times the lines of a text that can be counted
-    kept = all_counts.where(" or ".join(f"(kind = '{k}' and n >= {v})" for k, v in need.items())).toPandas()
-    of = lambda k: dict(zip(*[kept[kept["kind"] == k][c].tolist() for c in ("item", "n")], strict=True))
-    return Known(trusted(of("word")), of("edge"), of("mid"), sums.get("word", 0))
-
-
-def furniture(lines: list[str], k: Known) -> dict[int, str]:
-    """Line -> header or page_number, for one text."""
-    pages = pages_of(lines)
-    out: dict[int, str] = {}
-    repeated: Counter = Counter()
-    for p in pages:
-        repeated.update({("t", normal_line(lines[i])) for i in p[:2]} | {("b", normal_line(lines[i])) for i in p[-3:]})
-    width = float(np.median([len(x) for x in lines if len(x) > 30] or [60]))
+def known(all_counts: DataFrame) -> Known:
+    """At most ``WORD_SHARE`` words, whatever the corpus."""
+    words = all_counts.where("kind = 'word'")
+    total = words.agg(F.sum("n")).first()[0] or 0
+    kept = words.where(F.col("n") >= max(8, total // WORD_SHARE)).toPandas()
+    return Known(trusted(dict(zip(kept["item"].tolist(), kept["n"].tolist(), strict=True))), total)
+
+
+def edge_counts(texts: DataFrame, all_counts: DataFrame, key: str, content: str) -> DataFrame:
+    """``texts`` with ``edges``: of each line at a page's edge, in how many texts it stands at an
+    edge and elsewhere. Lines meet their counts in a join, so a rare running line counts too."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for tid, text in zip(pdf[key], pdf[content], strict=True):
+                lines = text.split("\n")
+                rows += [(tid, i, normal_line(lines[i])) for p in pages_of(lines) for i in {*p[:EDGE_LINES], *p[-EDGE_LINES:]} if len(lines[i]) < 90]
+            yield pd.DataFrame(rows, columns=[key, "i", "item"])
+
+    lines = texts.select(key, content).mapInPandas(run, f"{key} {kind}, i int, item string").where("item <> ''")
+    seen = all_counts.where("kind <> 'word'").groupBy("item").agg(F.sum(F.when(F.col("kind") == "edge", F.col("n"))).alias("edge"), F.sum(F.when(F.col("kind") == "mid", F.col("n"))).alias("mid"))
+    seen = seen.where("edge > 1 or mid > 0")  # one text alone tells nothing
+    per = lines.join(seen, "item").groupBy(key).agg(F.collect_list(F.struct("i", F.coalesce("edge", F.lit(0)).alias("edge"), F.coalesce("mid", F.lit(0)).alias("mid"))).alias("edges"))
+    return texts.select(key, content).join(per, key, "left")
+
+
+def _edges_of(rows) -> dict[int, tuple[int, int]]:
+    return {r["i"]: (r["edge"], r["mid"]) for r in rows} if rows is not None else {}
+
+
+class _Page:
+    """What the lines at the edges of a text's pages show, as numbers."""
 
-    def running(i: int, side: str) -> bool:
-        line = lines[i].strip("\f \t\r")
+    def __init__(self, lines: list[str], seen: dict[int, tuple[int, int]]):
+        self.lines, self.seen, self.pages = lines, seen, pages_of(lines)
+        self.repeated: Counter = Counter()
+        for p in self.pages:
+            self.repeated.update({("t", normal_line(lines[i])) for i in p[:2]} | {("b", normal_line(lines[i])) for i in p[-EDGE_LINES:]})
+        self.width = float(np.median([len(x) for x in lines if len(x) > 30] or [60]))
+
+    def features(self, no: int, i: int, side: str, depth: int, before: str, after: str, gap: bool) -> list[float]:
+        """Of line ``i`` on page ``no``, with the text's last line before it and the line after it."""
+        line = self.lines[i].strip("\f \t\r")
         norm = normal_line(line)
-        if not norm or len(line) > max(90, 1.5 * width) or re.search(r"[=_{}]", line):
-            return False
-        if k.mids.get(norm, 0) > k.edges.get(norm, 0) // 4 + 1 and not _NUMBERED.search(line):
-            return False  # a heading that also stands within pages
-        if repeated[(side, norm)] >= 2 and not line.startswith(("#", "|", "- ")):
-            return True
-        if k.edges.get(norm, 0) >= 5 and k.mids.get(norm, 0) <= k.edges[norm] // 10:
-            return not _ENDS.search(line) or bool(_RUNNING.search(line)) or len(line) < 0.7 * width
-        return bool(_RUNNING.search(line)) and len(line) < width or (bool(_NUMBERED.search(line)) and side == "t" and not line.startswith("|"))
-
-    last_content = ""
-    for no, p in enumerate(pages):
+        edge, mid = self.seen.get(i, (0, 0))
+        number = bool(_PAGE.match(self.lines[i]))
+        return [
+            float(number), float(number and _page_fits(self.lines, self.pages, no, i)), float(side == "t"), float(depth), float(no), float(len(self.pages)),
+            float(self.repeated[(side, norm)]) if norm else 0.0, float(np.log1p(edge)), float(np.log1p(mid)), float(mid > edge // 4 + 1), float(edge >= 5 and mid <= edge // 10),
+            len(line) / self.width, float(len(line) > max(90, 1.5 * self.width)), float(bool(_ENDS.search(line))), float(bool(_NUMBERED.search(line))), float(bool(_RUNNING.search(line))),
+            float(bool(re.search(r"[=_{}]", line))), float(line.startswith(("#", "|", "- "))), float(line[:1].islower()), float(line.isupper()), float(not norm),
+            float(side == "t" and depth == 0 and no > 0 and mid < 3 and _interrupts(before, self.lines[i], after, gap, self.width)),
+        ]
+
+
+N_EDGE = 22
+
+
+def edge_walk(lines: list[str], seen: dict[int, tuple[int, int]], judge) -> dict[int, str]:
+    """Line -> header or page_number, for one text.
+
+    Each page is walked from its ends inwards; ``judge`` takes the features of the next line, and
+    the first line that it takes for text ends the walk.
+    """
+    page = _Page(lines, seen)
+    out: dict[int, str] = {}
+    last = ""
+    for no, p in enumerate(page.pages):
         top, bottom = 0, len(p)
-        while bottom > 0 and len(p) - bottom < 3:
+        while bottom > 0 and len(p) - bottom < EDGE_LINES:
             i = p[bottom - 1]
-            if _PAGE.match(lines[i]):
-                if not _page_fits(lines, pages, no, i):
-                    break
-                out[i] = "page_number"
-            elif running(i, "b"):
-                out[i] = "header"
-            else:
+            if not judge(page.features(no, i, "b", len(p) - bottom, "", "", False)):
                 break
+            out[i] = "page_number" if _PAGE.match(lines[i]) else "header"
             bottom -= 1
-        while top < bottom and top < 3:
+        while top < bottom and top < EDGE_LINES:
             i = p[top]
-            if _PAGE.match(lines[i]):
-                if not _page_fits(lines, pages, no, i):
-                    break
-                out[i] = "page_number"
-            elif running(i, "t"):
-                out[i] = "header"
-            elif top == 0 and no and bottom > 1 and k.mids.get(normal_line(lines[i]), 0) < 3 and _interrupts(last_content, lines[i], lines[p[1]], p[1] - i > 1, width):
-                out[i] = "header"
-            else:
+            after = p[top + 1] if top + 1 < len(p) else i
+            if not judge(page.features(no, i, "t", top, last, lines[after] if after != i else "", after - i > 1)):
                 break
+            out[i] = "page_number" if _PAGE.match(lines[i]) else "header"
             top += 1
-        content = [i for i in p if i not in out]
+        content = p[top:bottom]
         if content:
-            last_content = lines[content[-1]]
+            last = lines[content[-1]]
     return out
 
 
+def evident(x: list[float]) -> bool:
+    """A label for training, from evidence that speaks for itself.
+
+    A number that fits the page; a line that repeats at its side of the pages; one that is common
+    at edges and rare elsewhere; one with a number set apart, or that cuts a running sentence in two.
+    """
+    number, fits, top, _, _, _, repeated, _, _, heading, at_edges, length, too_long, ends, numbered, running, code, listed, _, _, blank, interrupts = x
+    if number:
+        return bool(fits)
+    if blank or too_long or code or (heading and not numbered):
+        return False
+    if repeated >= 2 and not listed:
+        return True
+    if at_edges:
+        return bool(not ends or running or length < 0.7)
+    return bool((running and length < 1) or (numbered and top and not listed) or interrupts)
+
+
+def train_edges(sample: list[tuple[str, dict]]) -> dict:
+    """A model of running lines and page numbers at the edges of pages, from the evident labels."""
+    x: list[list[float]] = []
+    y: list[bool] = []
+
+    def judge(features: list[float]) -> bool:
+        x.append(features)
+        y.append(evident(features))
+        return y[-1]
+
+    for text, seen in sample:
+        edge_walk(text.split("\n"), seen, judge)
+    return boosting.fit(np.array(x, float).reshape(-1, N_EDGE), np.array(y, float), rounds=120, rate=0.3)
+
+
 def _page_fits(lines: list[str], pages: list[list[int]], no: int, i: int) -> bool:
     """A number at a page's edge is the page's unless it goes on with a column of numbers."""
     p = pages[no]
@@ -236,11 +294,11 @@ def pair_features(a: str, b: str, local: Counter, k: Known) -> list[float]:
     ]
 
 
-def _local(lines: list[str]) -> Counter:
+def _counted(lines: list[str], words: list[list[str]]) -> Counter:
+    """The words of all lines, those at either side of a possible break left out."""
     out: Counter = Counter()
     broken = False
-    for line in lines:
-        found = _WORD.findall(line.lower())
+    for line, found in zip(lines, words, strict=True):
         if broken and found:
             found = found[1:]
         broken = _break(line) is not None
@@ -248,6 +306,10 @@ def _local(lines: list[str]) -> Counter:
     return out
 
 
+def _local(lines: list[str]) -> Counter:
+    return _counted(lines, [_WORD.findall(x.lower()) for x in lines])
+
+
 def breaks(lines: list[str], skip: dict[int, str]) -> list[tuple[int, str, str, str]]:
     """(line, first part, sign, second part) of the line ends that may break a word."""
     out = []
@@ -262,12 +324,8 @@ def breaks(lines: list[str], skip: dict[int, str]) -> list[tuple[int, str, str,
     return out
 
 
-def train_breaks(texts: DataFrame, content: str, k: Known) -> dict:
-    """A model of broken words: breaks by unmistakable signs against compounds within lines.
-
-    Learned from a bounded sample of texts, ``TRAIN_WORDS`` divided by eight.
-    """
-    sample = [r[0] for r in texts.select(content).limit(TRAIN_WORDS // 8).collect()]
+def train_breaks(sample: list[str], k: Known) -> dict:
+    """A model of broken words: breaks by unmistakable signs against compounds within lines."""
     x, y = [], []
     for text in sample:
         lines = text.split("\n")
@@ -322,14 +380,24 @@ def grams(word: str) -> list[tuple[str, int]]:
     return [(padded[i : i + 2], i) for i in range(len(padded) - 1)]
 
 
-def rank_features(seen: str, meant: str, shared: int, n_meant: int, total: int) -> list[float]:
+def rank_features(seen: str, meant: str, n_seen: int, n_meant: int, total: int) -> list[float]:
     cost = misread_cost(seen, meant)
     letters = sum(c.isalpha() and c.isascii() for c in seen)
-    return [cost, cost / len(meant), shared / (len(meant) + 1), float(np.log((n_meant + 1) / (total + 1))), float(len(meant)), float(len(seen) - letters), float(seen[0] == meant[0]), float(seen[-1] == meant[-1])]
+    shared = len({*grams(seen)} & {(g, i + d) for g, i in grams(meant) for d in (-1, 0, 1)})
+    return [
+        cost, cost / len(meant), shared / (len(meant) + 1), float(np.log((n_meant + 1) / (total + 1))), float(np.log((n_meant + 1) / (n_seen + 1))), float(len(meant)),
+        float(len(seen) - letters), float(seen[0] == meant[0]), float(seen[-1] == meant[-1]),
+    ]
+
 
+N_RANK = 9
 
-def train_ranking(k: Known, right: list[str]) -> dict:
-    """Trees that tell a misread word's meaning from other candidates and from rare right words."""
+
+def train_ranking(k: Known, right: dict[str, int]) -> dict:
+    """Trees that tell a misread word's meaning from other candidates and from rare right words.
+
+    ``right`` holds words that texts repeat, with their counts.
+    """
     rng = np.random.default_rng(7)
     index: dict[tuple[str, int], list[str]] = {}
     for w in k.words:
@@ -342,7 +410,7 @@ def train_ranking(k: Known, right: list[str]) -> dict:
         c: Counter = Counter()
         for g in grams(seen):
             c.update(index.get(g, ()))
-        return Counter({w: n for w, n in c.items() if abs(len(w) - len(seen)) <= 2 and n >= max(2, len(seen) // 3)})
+        return Counter({w: n for w, n in c.items() if abs(len(w) - len(seen)) <= EDITS and n >= max(2, len(seen) // 3)})
 
     x, y = [], []
     meant = [w for w in k.words if w.isalpha() and w.isascii() and len(w) >= 3]
@@ -356,93 +424,129 @@ def train_ranking(k: Known, right: list[str]) -> dict:
         seen = w[:at] + b + w[at + len(a) :]
         if seen in k.words:
             continue
-        for c, n in candidates(seen).most_common(4):
-            x.append(rank_features(seen, c, n, k.words[c], k.total))
+        n_seen = int(rng.integers(1, 1 + max(1, min(20, k.words[w] // far(seen)))))
+        for c, _ in candidates(seen).most_common(4):
+            x.append(rank_features(seen, c, n_seen, k.words[c], k.total))
             y.append(c == w)
-    for seen in right:
-        for c, n in candidates(seen).most_common(2):
-            x.append(rank_features(seen, c, n, k.words[c], k.total))
+    for seen, n_seen in sorted(right.items()):
+        for c, _ in candidates(seen).most_common(2):
+            x.append(rank_features(seen, c, n_seen, k.words[c], k.total))
             y.append(False)
-    return boosting.fit(np.array(x, float).reshape(-1, 8), np.array(y, float), rounds=80)
+    return boosting.fit(np.array(x, float).reshape(-1, N_RANK), np.array(y, float), rounds=80)
+
+
+class _Suspects(dict):
+    """Lower-case word -> its parts that are no common words and look like words."""
+
+    def __init__(self, k: Known):
+        self.words = k.words
 
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        got = tuple(p for p in word.split("-") if p not in self.words and _wordlike(p))
+        if len(self) < 400_000:
+            self[word] = got
+        return got
 
-def _token_ok(w: str, k: Known) -> bool:
+
+def _wordlike(w: str) -> bool:
+    """Whether letters of an alphabet make most of it; ideographs and other scripts have no such misreadings."""
     letters = sum(c.isalpha() for c in w)
-    return 3 <= len(w) <= 30 and letters >= 2 and letters >= 0.6 * len(w) and w not in k.words and not any("一" <= c <= "鿿" or "Ѐ" <= c <= "ӿ" for c in w)
+    return len(w) >= 3 and letters >= 2 and letters >= 0.6 * len(w) and not any("一" <= c <= "鿿" or "Ѐ" <= c <= "ӿ" for c in w)
 
 
-def line_pass(texts: DataFrame, key: str, content: str, k: Known, breaker: dict) -> DataFrame:
+def line_pass(texts: DataFrame, key: str, content: str, k: Known, edger: dict, breaker: dict) -> DataFrame:
     """(key, line_no, noise, word, n): furniture, broken words, and rare words yet to judge."""
-    sent = texts.sparkSession.sparkContext.broadcast((k, breaker))
+    sent = texts.sparkSession.sparkContext.broadcast((k, edger, breaker))
     kind = texts.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k, breaker = sent.value
+        k, edger, breaker = sent.value
+        suspects, judge = _Suspects(k), boosting.scorer(edger)
         for pdf in batches:
             rows: list[tuple] = []
-            for tid, text in zip(pdf[key], pdf[content], strict=True):
+            for tid, text, edges in zip(pdf[key], pdf[content], pdf["edges"], strict=True):
                 lines = text.split("\n")
-                skip = furniture(lines, k)
+                skip = edge_walk(lines, _edges_of(edges), judge)
                 rows += [(tid, i + 1, what, None, 0) for i, what in skip.items()]
-                local = _local(lines)
+                words = [_WORD.findall(x) for x in text.lower().split("\n")]
+                local = _counted(lines, words)
                 ends = breaks(lines, skip)
                 x = np.array([pair_features(a, b, local, k) for _, a, _, b in ends], float).reshape(-1, 12)
-                chance = boosting.predict(breaker, x)
-                cut_at = set()
-                for (i, _, sign, b), p in zip(ends, chance, strict=True):
-                    if sign in "¬­" or (b and p >= ACCEPT):
-                        rows.append((tid, i + 1, "hyphen", None, 0))
-                        cut_at.add(i)
-                frequent = [w for w, n in local.items() if n >= 3 and w not in k.words and w.isalpha()]
+                cut_at = {i: b for (i, _, sign, b), p in zip(ends, boosting.predict(breaker, x), strict=True) if sign in "¬­" or (b and p >= ACCEPT)}
+                rows += [(tid, i + 1, "hyphen", None, 0) for i in cut_at]
                 after_cut = False
-                judged: dict[str, bool] = {}
-                for i, line in enumerate(lines):
-                    if i in skip or not line.strip():
+                for i, found in enumerate(words):
+                    if i in skip or not lines[i].strip():
                         continue
-                    found = _WORD.findall(line)
                     if after_cut:
                         found = found[1:]
                     after_cut = i in cut_at
                     if after_cut:
                         found = found[:-1]
                     for w in found:
-                        for part in w.lower().split("-"):
-                            if _token_ok(part, k):
-                                n = local[part] if part == w.lower() else 1
-                                if part not in judged:
-                                    judged[part] = any(local[v] >= (far(part) * n if n > 2 else 3) and abs(len(v) - len(part)) <= 1 and v != part and (v[0] == part[0] or v[-1] == part[-1]) and misread_cost(part, v) <= 0.31 for v in frequent)
-                                rows.append((tid, i + 1, "char" if judged[part] else "?", part, n))
+                        for part in suspects[w]:
+                            rows.append((tid, i + 1, "?", part, local[part] if part == w else 1))
             yield pd.DataFrame(rows, columns=[key, "line_no", "noise", "word", "n"])
 
-    return texts.select(key, content).mapInPandas(run, f"{key} {kind}, line_no int, noise string, word string, n bigint")
+    return texts.mapInPandas(run, f"{key} {kind}, line_no int, noise string, word string, n bigint")
+
 
+def _grams_of(word: str) -> Column:
+    p = f"concat('^', {word}, '$')"
+    return F.expr(f"transform(sequence(1, length({word}) + 1), i -> struct(substring({p}, i, 2) as gram, i as place))")
 
-def corrections(words: DataFrame, k: Known, ranker: dict) -> DataFrame:
-    """(word, meant, at_most, chance): rare words that are misread common ones.
 
-    ``at_most`` is how often a misreading may stand in a text, by how common its meaning is.
-    Candidates meet through an equi-join on q-grams and their places; the index side is the common
-    words, of bounded number.
+def corrections(words: DataFrame, all_counts: DataFrame, total: int, ranker: dict) -> DataFrame:
+    """(word, meant, at_most, chance): words that are misread others.
+
+    ``at_most`` is how often a misreading may stand in a text, by how common its meaning is. What a
+    word may mean is any word of the corpus with ``SUPPORT`` occurrences. Both are tables: they meet
+    in an equi-join on q-grams and their places. An edit spoils at most two bigrams, so the rarest
+    ``2 * edits + 1`` bigrams of a word find every meaning within so many edits.
     """
-    spark = words.sparkSession
-    index = [(g, i + s, w, n) for w, n in k.words.items() if w.isalpha() and len(w) >= 3 for g, i in grams(w) for s in (-1, 0, 1)]
-    if not index:
-        return words.select("word", F.lit("").alias("meant"), F.lit(0).cast("bigint").alias("at_most"), F.lit(0.0).alias("chance")).limit(0)
-    postings = spark.createDataFrame(pd.DataFrame(index, columns=["gram", "place", "meant", "n_meant"]))
-    padded = words.select("word", F.concat(F.lit("^"), "word", F.lit("$")).alias("p"))
-    asked = padded.select("word", F.posexplode(F.expr("transform(sequence(1, length(p) - 1), i -> substring(p, i, 2))")).alias("place", "gram"))
-    met = asked.join(postings, ["gram", "place"]).where(F.abs(F.length("meant") - F.length("word")) <= 2)
-    shared = met.groupBy("word", "meant", "n_meant").agg(F.count("*").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(2), F.floor(F.length("word") / 3)))
-    sent = spark.sparkContext.broadcast((ranker, k.total))
+    counted = all_counts.where("kind = 'word'").select(F.col("item").alias("word"), "n")
+    meanings = counted.where(F.col("n") >= SUPPORT).where(r"length(word) >= 3 and word rlike '^\\p{L}+$'").select(F.col("word").alias("meant"), F.col("n").alias("n_meant"))
+    postings = cut(meanings.select("meant", "n_meant", F.explode(_grams_of("meant")).alias("g")).select("meant", "n_meant", "g.gram", "g.place"))
+    load = postings.groupBy("gram").agg(F.count("*").alias("load"))
+    edits = F.when(F.length("word") < 5, EDITS - 1).otherwise(EDITS)
+    asked = words.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n_seen"), F.explode(_grams_of("word")).alias("g")).select("word", "n_seen", "g.gram", "g.place")
+    rarest = F.array_sort(F.collect_list(F.struct(F.coalesce("load", F.lit(0)).alias("load"), "gram", "place")))
+    keys = asked.join(load, "gram", "left").groupBy("word", "n_seen").agg(rarest.alias("g")).withColumn("edits", edits)
+    keys = keys.select("word", "n_seen", "edits", F.explode(F.slice("g", F.lit(1), 2 * F.col("edits") + 1)).alias("g")).where("g.load > 0")
+    keys = keys.select("word", "n_seen", "edits", "g.gram", F.explode(F.expr("sequence(g.place - edits, g.place + edits)")).alias("place")).repartition(spread(words, 4), "word")
+    apart = F.abs(F.length("meant") - F.length("word")) <= F.col("edits")
+    met = keys.join(postings, ["gram", "place"]).where(apart & (F.col("word") != F.col("meant")) & (F.col("n_meant") >= SUPPORT * F.col("n_seen")))
+    near = met.where(F.levenshtein("word", "meant", EDITS) >= 0).where((F.col("edits") == EDITS) | (F.levenshtein("word", "meant") <= 1)).select("word", "n_seen", "meant", "n_meant").distinct()
+    sent = words.sparkSession.sparkContext.broadcast(ranker)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranker, total = sent.value
         for pdf in batches:
-            x = np.array([rank_features(*r, total) for r in zip(pdf["word"], pdf["meant"], pdf["shared"], pdf["n_meant"], strict=True)], float).reshape(-1, 8)
-            yield pd.DataFrame({"word": pdf["word"], "meant": pdf["meant"], "at_most": [m // far(w) for w, m in zip(pdf["word"], pdf["n_meant"], strict=True)], "chance": boosting.predict(ranker, x)})
+            x = np.array([rank_features(*r, total) for r in zip(pdf["word"], pdf["meant"], pdf["n_seen"], pdf["n_meant"], strict=True)], float).reshape(-1, N_RANK)
+            yield pd.DataFrame({"word": pdf["word"], "meant": pdf["meant"], "at_most": [m // far(w) for w, m in zip(pdf["word"], pdf["n_meant"], strict=True)], "chance": boosting.predict(sent.value, x)})
 
-    near = shared.where(F.levenshtein("word", "meant") <= 2)
-    return near.mapInPandas(run, "word string, meant string, at_most bigint, chance double").where(F.col("chance") >= ACCEPT).groupBy("word").agg(F.max_by("meant", F.struct("chance", "meant")).alias("meant"), F.max_by("at_most", F.struct("chance", "meant")).alias("at_most"), F.max("chance").alias("chance"))
+    best = F.struct("chance", "meant")
+    ranked = near.mapInPandas(run, "word string, meant string, at_most bigint, chance double").where(F.col("chance") >= ACCEPT)
+    return ranked.groupBy("word").agg(F.max_by("meant", best).alias("meant"), F.max_by("at_most", best).alias("at_most"), F.max("chance").alias("chance"))
+
+
+def _judged(texts: DataFrame, key: str, content: str) -> DataFrame:
+    """(key, line_no, noise, word, meant) of all lines with noise; ``texts`` without empty ones."""
+    all_counts = cut(counts(texts, key, content))
+    k = known(all_counts)
+    with_edges = edge_counts(texts, all_counts, key, content)
+    sample = with_edges.where(F.length(content) <= TRAIN_CHARS).orderBy(F.xxhash64(key), key).limit(TRAIN_TEXTS).collect()
+    edger = train_edges([(r[content], _edges_of(r["edges"])) for r in sample])
+    breaker = train_breaks([r[content] for r in sample], k)
+    passed = cut(line_pass(with_edges, key, content, k, edger, breaker))
+    unsure = passed.where("noise = '?'")
+    # words that stand often in a text are taken as right for training, not those that look misread
+    repeated = unsure.where("n >= 3").groupBy("word").agg(F.max("n").alias("n")).orderBy(F.xxhash64("word")).limit(TRAIN_WORDS // 2).collect()
+    often = {r["word"]: r["n"] for r in repeated}
+    credible = trusted({**k.words, **often})
+    fixed = corrections(unsure.select("word").distinct(), all_counts, k.total, train_ranking(k, {w: n for w, n in often.items() if w in credible}))
+    # a word that a text repeats is a misreading only where its meaning is far commoner
+    chars = unsure.join(fixed, "word").where("n <= 2 or n <= at_most").select(key, "line_no", F.lit("char").alias("noise"), "word", "meant")
+    return passed.where("noise <> '?'").select(key, "line_no", "noise", "word", F.lit(None).cast("string").alias("meant")).unionByName(chars)
 
 
 def noises(texts: DataFrame, key: str = "text_id", content: str = "content") -> DataFrame:
@@ -452,14 +556,73 @@ def noises(texts: DataFrame, key: str = "text_id", content: str = "content") ->
     else. Null and empty texts give no row; repeated rows count as one text.
     """
     own = widen(texts.where(F.length(content) > 0).select(key, content))
-    k = known(own, key, content)
-    breaker = train_breaks(own, content, k)
-    passed = cut(line_pass(own, key, content, k, breaker))
-    unsure = passed.where("noise = '?'")
-    # words that stand often in a text are taken as right for training, not those that look misread
-    often = {r["word"]: r["n"] for r in unsure.where("n >= 3").groupBy("word").agg(F.max("n").alias("n")).limit(TRAIN_WORDS // 2).collect()}
-    credible = trusted({**k.words, **often})
-    fixed = corrections(unsure.select("word").distinct(), k, train_ranking(k, [w for w in often if w in credible]))
-    # a word that a text repeats is a misreading only where its meaning is far commoner
-    chars = unsure.join(fixed, "word").where("n <= 2 or n <= at_most").select(key, "line_no", F.lit("char").alias("noise"))
-    return passed.where("noise <> '?'").select(key, "line_no", "noise").unionByName(chars).distinct()
+    return _judged(own, key, content).select(key, "line_no", "noise").distinct()
+
+
+def paragraphs(lines: list[str], noise: dict[int, set[str]], meant: dict[int, dict[str, str]]) -> str:
+    """A text without furniture, its broken words joined, its misread words put right, in paragraphs.
+
+    A blank line, a list item, a heading and a line that ends a sentence well before the margin end
+    a paragraph; a page's end doesn't.
+    """
+    width = float(np.median([len(x) for x in lines if len(x) > 30] or [60]))
+    out: list[str] = []
+    current, broken, closed = "", False, True
+    for i, line in enumerate(lines):
+        what = noise.get(i, set())
+        if what & {"header", "page_number"}:
+            continue
+        bare = line.strip("\f \t\r")
+        for seen, right in meant.get(i, {}).items():
+            bare = re.sub(rf"(?<!\w){re.escape(seen)}(?!\w)", lambda m, r=right: _cased(m.group(), r), bare, flags=re.I)
+        if not bare:
+            # a gap at a page's end is the page's
+            closed = closed or not ("\f" in line or (i + 1 < len(lines) and "\f" in lines[i + 1]))
+            continue
+        starts = bool(re.match(r"(?:[#|>•*-]|\d+[.)])\s", bare)) or bare[0] in "#|"
+        if current and not broken and (closed or starts):
+            out.append(current)
+            current = ""
+        if not current or broken:
+            current += bare
+        else:
+            current += ("" if _unspaced(current[-1]) and _unspaced(bare[0]) else " ") + bare
+        broken = "hyphen" in what
+        if broken:
+            current = current.rstrip(SIGNS + " \t")
+        closed = not broken and (bare.startswith("#") or (bool(_ENDS.search(bare)) and len(bare) < 0.7 * width))
+    return "\n\n".join([*out, current] if current else out)
+
+
+def _unspaced(c: str) -> bool:
+    return "　" <= c <= "鿿" or "＀" <= c <= "￯"
+
+
+def _cased(seen: str, meant: str) -> str:
+    letters = [c for c in seen if c.isalpha()]
+    return meant.upper() if len(letters) > 1 and all(c.isupper() for c in letters) else meant.capitalize() if seen[0].isupper() else meant
+
+
+def repaired(texts: DataFrame, key: str = "text_id", content: str = "content") -> DataFrame:
+    """(key, content): every text as continuous paragraphs, without the traces of page and scan.
+
+    Null and empty texts stay as they are; repeated rows repeat. ``key`` tells the texts apart.
+    """
+    own = widen(texts.where(F.length(content) > 0).select(key, content))
+    per = _judged(own, key, content).groupBy(key).agg(F.collect_set(F.struct("line_no", "noise", "word", "meant")).alias("found"))
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text, found in zip(pdf[content], pdf["found"], strict=True):
+                noise: dict[int, set[str]] = {}
+                meant: dict[int, dict[str, str]] = {}
+                for r in found if found is not None else ():
+                    noise.setdefault(r["line_no"] - 1, set()).add(r["noise"])
+                    if r["meant"] is not None:
+                        meant.setdefault(r["line_no"] - 1, {})[r["word"]] = r["meant"]
+                out.append(paragraphs(text.split("\n"), noise, meant) if text else text)
+            yield pd.DataFrame({key: pdf[key], content: out})
+
+    return texts.select(key, content).join(per, key, "left").mapInPandas(run, f"{key} {kind}, {content} string")

@@ -1,6 +1,7 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -436,3 +437,25 @@ def test_bibtex_of_any_depth():
     assert representative.scanned_fields(deep) == 3
     assert representative.scanned_fields(deep[:-1]) is None and representative.scanned_fields(None) is None
     assert representative.scanned_fields("@misc{a, title={x}, ye}") is None
+
+
+def test_paragraphs_without_the_traces_of_page_and_scan():
+    lines = "Results of the tri-\nal were gr0up means\n\fThe running head\n12\nof all sites.\n\nA new paragraph that\ngoes on.".split("\n")
+    noise = {0: {"hyphen"}, 1: {"char"}, 2: {"header"}, 3: {"page_number"}}
+    got = scans.paragraphs(lines, noise, {1: {"gr0up": "group"}})
+    assert got == "Results of the trial were group means of all sites.\n\nA new paragraph that goes on."
+    assert scans.paragraphs(["GR0UP"], {}, {0: {"gr0up": "group"}}) == "GROUP" and scans.paragraphs([""], {}, {}) == ""
+
+
+def test_repaired_keeps_nulls_and_empty_texts(spark):
+    rows = [(1, None), (2, ""), (3, "One line of text that was printed on a page and is long en-\nough to be joined.")]
+    got = dict(scans.repaired(spark.createDataFrame(rows, "text_id bigint, content string")).collect())
+    assert got[1] is None and got[2] == "" and set(got) == {1, 2, 3}
+
+
+def test_scorer_agrees_with_predict():
+    rng = np.random.default_rng(3)
+    x = rng.random((300, 4))
+    model = boosting.fit(x, (x[:, 0] + x[:, 2] > 1).astype(float))
+    judge = boosting.scorer(model)
+    assert [judge(r) for r in x.tolist()] == (boosting.predict(model, x) >= 0.5).tolist()
