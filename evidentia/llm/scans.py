@@ -12,6 +12,7 @@ the hash of their keys, and on at most ``TRAIN_WORDS`` words. Everything else co
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,17 +29,20 @@ WORD_SHARE = 50_000  # words that make at least one in so many are sent to all t
 SUPPORT = 3  # a word needs so many occurrences in the corpus to be what another one means
 EDGE_LINES = 3  # lines at either end of a page that may be furniture
 EDITS = 2  # between a misread word and its meaning; 1 for words of less than five letters
+LONG = 8  # letters from which trigrams find candidates
 TRAIN_TEXTS, TRAIN_CHARS = 500, 200_000
 TRAIN_WORDS = 4_000  # common words misread on purpose, and rare words taken as right, for training
 ACCEPT = 0.5
 
 SIGNS = "¬­‐‑-"
+_BREAK_SIGNS, _SIGN = frozenset(SIGNS), re.compile(f"[{SIGNS}]")
 _BREAK = re.compile(rf"([^\W\d_][\w'’|!{SIGNS}]*?)([{SIGNS}])[ \t\r]*$")
 _FIRST = re.compile(r"^[\f\s]*([^\W\d_][\w|!]*)")
 _WORD = re.compile(r"[^\W_][\w|!]*(?:[-'’][\w|!]+)*")
 _PAGE = re.compile(r"^[\f\s]*(?:[-–—(\[]\s*)?(?:(?:page|p\.|seite)\s*)?(?:\d{1,5}|[ivxl]{1,7})(?:\s*(?:of|/)\s*\d{1,5})?(?:\s*[-–—)\]])?\s*$", re.I)
 _NUMBERED = re.compile(r"^\s*(?:\d{1,5}|[ivxl]{1,6})\s{2,}\S|\S\s{2,}(?:\d{1,5}|[ivxl]{1,6})\s*$")
 _RUNNING = re.compile(r"\bet al\.\s*$|,\s*vol\.\s*\d+\s*$|\bet al\.$", re.I)
+_NUMERALS, _GAPS = re.compile(r"\b(?:\d+|[ivxl]{1,6})\b"), re.compile(r"\s+")
 _ENDS = re.compile(r"[.!?:;。！？]['\"”’)\]]*\s*$")
 
 # What scanners take one sign or two for.
@@ -48,13 +52,12 @@ _PAIRS = frozenset(CONFUSED)
 
 def _break(line: str) -> re.Match | None:
     """The match of a line end that may break a word."""
-    bare = line.rstrip(" \t\r")
-    return _BREAK.search(line) if bare and bare[-1] in SIGNS else None
+    return _BREAK.search(line) if line.rstrip(" \t\r")[-1:] in _BREAK_SIGNS else None
 
 
 def normal_line(line: str) -> str:
     """A line without numbers and layout, to compare running lines by."""
-    return re.sub(r"\s+", " ", re.sub(r"\b(?:\d+|[ivxl]{1,6})\b", " ", line.strip("\f \t\r").lower())).strip()
+    return _GAPS.sub(" ", _NUMERALS.sub(" ", line.strip("\f \t\r").lower())).strip()
 
 
 def pages_of(lines: list[str]) -> list[list[int]]:
@@ -160,7 +163,7 @@ def edge_counts(texts: DataFrame, all_counts: DataFrame, key: str, content: str)
     lines = texts.select(key, content).mapInPandas(run, f"{key} {kind}, i int, item string").where("item <> ''")
     seen = all_counts.where("kind <> 'word'").groupBy("item").agg(F.sum(F.when(F.col("kind") == "edge", F.col("n"))).alias("edge"), F.sum(F.when(F.col("kind") == "mid", F.col("n"))).alias("mid"))
     seen = seen.where("edge > 1 or mid > 0")  # one text alone tells nothing
-    per = lines.join(seen, "item").groupBy(key).agg(F.collect_list(F.struct("i", F.coalesce("edge", F.lit(0)).alias("edge"), F.coalesce("mid", F.lit(0)).alias("mid"))).alias("edges"))
+    per = cut(lines.join(seen, "item").groupBy(key).agg(F.collect_list(F.struct("i", F.coalesce("edge", F.lit(0)).alias("edge"), F.coalesce("mid", F.lit(0)).alias("mid"))).alias("edges")))
     return texts.select(key, content).join(per, key, "left")
 
 
@@ -286,7 +289,7 @@ def _interrupts(before: str, line: str, after: str, gap: bool, width: float) ->
 
 def pair_features(a: str, b: str, local: Counter, k: Known) -> list[float]:
     """Of a possibly broken word: how well it is known joined, hyphenated and in parts."""
-    lg = lambda n: float(np.log1p(n))
+    lg = math.log1p
     joined, dashed = a + b, f"{a}-{b}"
     return [
         lg(k.words.get(joined, 0)), lg(local.get(joined, 0)), lg(k.words.get(dashed, 0)), lg(local.get(dashed, 0)),
@@ -296,14 +299,14 @@ def pair_features(a: str, b: str, local: Counter, k: Known) -> list[float]:
 
 def _counted(lines: list[str], words: list[list[str]]) -> Counter:
     """The words of all lines, those at either side of a possible break left out."""
-    out: Counter = Counter()
+    flat: list[str] = []
     broken = False
     for line, found in zip(lines, words, strict=True):
-        if broken and found:
-            found = found[1:]
-        broken = _break(line) is not None
-        out.update(found[:-1] if broken else found)
-    return out
+        ends = _break(line) is not None
+        if found:
+            flat += found[broken : len(found) - ends] if broken or ends else found
+        broken = ends
+    return Counter(flat)
 
 
 def _local(lines: list[str]) -> Counter:
@@ -319,7 +322,7 @@ def breaks(lines: list[str], skip: dict[int, str]) -> list[tuple[int, str, str,
         if not m:
             continue
         n = _FIRST.match(lines[j]) if j is not None else None
-        a = re.split(rf"[{SIGNS}]", m.group(1).lower())[-1]
+        a = _SIGN.split(m.group(1).lower())[-1]
         out.append((i, a, m.group(2), n.group(1).lower() if n and n.group(1)[0].islower() else ""))
     return out
 
@@ -396,11 +399,12 @@ N_RANK = 9
 def train_ranking(k: Known, right: dict[str, int]) -> dict:
     """Trees that tell a misread word's meaning from other candidates and from rare right words.
 
-    ``right`` holds words that texts repeat, with their counts.
+    ``right`` holds words that texts repeat, with their counts; they stand for the rare words.
     """
     rng = np.random.default_rng(7)
     index: dict[tuple[str, int], list[str]] = {}
-    for w in k.words:
+    words = {**right, **k.words}
+    for w in words:
         if w.isalpha() and len(w) >= 3:
             for g, i in grams(w):
                 for s in (-1, 0, 1):
@@ -410,11 +414,13 @@ def train_ranking(k: Known, right: dict[str, int]) -> dict:
         c: Counter = Counter()
         for g in grams(seen):
             c.update(index.get(g, ()))
-        return Counter({w: n for w, n in c.items() if abs(len(w) - len(seen)) <= EDITS and n >= max(2, len(seen) // 3)})
+        return Counter({w: n for w, n in c.items() if w != seen and abs(len(w) - len(seen)) <= EDITS and n >= max(2, len(seen) // 3)})
 
     x, y = [], []
-    meant = [w for w in k.words if w.isalpha() and w.isascii() and len(w) >= 3]
-    for w in sorted(rng.permutation(np.array(meant, dtype=object))[: TRAIN_WORDS // 2]) if meant else []:
+    meant = [w for w in words if w.isalpha() and w.isascii() and len(w) >= 3]
+    # a word is misread as often as it is used, so common ones are drawn more often
+    weight = np.array([words[w] for w in meant], float)
+    for w in sorted(rng.choice(np.array(meant, dtype=object), TRAIN_WORDS // 2, p=weight / weight.sum())) if meant else []:
         options = [(a, b) for a, b in CONFUSED if a in w]
         if not options:
             continue
@@ -422,15 +428,16 @@ def train_ranking(k: Known, right: dict[str, int]) -> dict:
         spots = [m.start() for m in re.finditer(re.escape(a), w)]
         at = spots[rng.integers(len(spots))]
         seen = w[:at] + b + w[at + len(a) :]
-        if seen in k.words:
+        if seen in words:
             continue
-        n_seen = int(rng.integers(1, 1 + max(1, min(20, k.words[w] // far(seen)))))
+        n_seen = int(rng.integers(1, 1 + max(1, min(20, words[w] // far(seen)))))
         for c, _ in candidates(seen).most_common(4):
-            x.append(rank_features(seen, c, n_seen, k.words[c], k.total))
+            x.append(rank_features(seen, c, n_seen, words[c], k.total))
             y.append(c == w)
-    for seen, n_seen in sorted(right.items()):
-        for c, _ in candidates(seen).most_common(2):
-            x.append(rank_features(seen, c, n_seen, k.words[c], k.total))
+    for seen in sorted(right):
+        n_seen = int(rng.integers(1, 3))  # most right words are met once or twice
+        for c, _ in candidates(seen).most_common(4):
+            x.append(rank_features(seen, c, n_seen, words[c], k.total))
             y.append(False)
     return boosting.fit(np.array(x, float).reshape(-1, N_RANK), np.array(y, float), rounds=80)
 
@@ -464,36 +471,36 @@ def line_pass(texts: DataFrame, key: str, content: str, k: Known, edger: dict, b
         suspects, judge = _Suspects(k), boosting.scorer(edger)
         for pdf in batches:
             rows: list[tuple] = []
+            read, x = [], []
             for tid, text, edges in zip(pdf[key], pdf[content], pdf["edges"], strict=True):
                 lines = text.split("\n")
                 skip = edge_walk(lines, _edges_of(edges), judge)
                 rows += [(tid, i + 1, what, None, 0) for i, what in skip.items()]
-                words = [_WORD.findall(x) for x in text.lower().split("\n")]
+                words = [_WORD.findall(y) for y in text.lower().split("\n")]
                 local = _counted(lines, words)
                 ends = breaks(lines, skip)
-                x = np.array([pair_features(a, b, local, k) for _, a, _, b in ends], float).reshape(-1, 12)
-                cut_at = {i: b for (i, _, sign, b), p in zip(ends, boosting.predict(breaker, x), strict=True) if sign in "¬­" or (b and p >= ACCEPT)}
+                x += [pair_features(a, b, local, k) for _, a, _, b in ends]
+                read.append((tid, skip, words, local, ends))
+            chance = iter(boosting.predict(breaker, np.array(x, float).reshape(-1, 12)).tolist())
+            for tid, skip, words, local, ends in read:
+                cut_at = {i for i, _, sign, b in ends if (next(chance) >= ACCEPT and b) or sign in "¬­"}
                 rows += [(tid, i + 1, "hyphen", None, 0) for i in cut_at]
                 after_cut = False
                 for i, found in enumerate(words):
-                    if i in skip or not lines[i].strip():
+                    if not found or i in skip:
                         continue
-                    if after_cut:
-                        found = found[1:]
-                    after_cut = i in cut_at
-                    if after_cut:
-                        found = found[:-1]
-                    for w in found:
+                    for w in found[after_cut : len(found) - (i in cut_at)]:
                         for part in suspects[w]:
                             rows.append((tid, i + 1, "?", part, local[part] if part == w else 1))
+                    after_cut = i in cut_at
             yield pd.DataFrame(rows, columns=[key, "line_no", "noise", "word", "n"])
 
     return texts.mapInPandas(run, f"{key} {kind}, line_no int, noise string, word string, n bigint")
 
 
-def _grams_of(word: str) -> Column:
+def _grams_of(word: str, q: str) -> Column:
     p = f"concat('^', {word}, '$')"
-    return F.expr(f"transform(sequence(1, length({word}) + 1), i -> struct(substring({p}, i, 2) as gram, i as place))")
+    return F.expr(f"transform(sequence(1, length({word}) + 3 - {q}), i -> struct(substring({p}, i, {q}) as gram, i as place))")
 
 
 def corrections(words: DataFrame, all_counts: DataFrame, total: int, ranker: dict) -> DataFrame:
@@ -501,18 +508,24 @@ def corrections(words: DataFrame, all_counts: DataFrame, total: int, ranker: dic
 
     ``at_most`` is how often a misreading may stand in a text, by how common its meaning is. What a
     word may mean is any word of the corpus with ``SUPPORT`` occurrences. Both are tables: they meet
-    in an equi-join on q-grams and their places. An edit spoils at most two bigrams, so the rarest
-    ``2 * edits + 1`` bigrams of a word find every meaning within so many edits.
+    in an equi-join on q-grams and their places. An edit spoils at most q grams, so the rarest
+    ``q * edits + 1`` grams of a word find every meaning within so many edits; q is 3 for words of
+    ``LONG`` letters, which have that many trigrams, else 2.
     """
     counted = all_counts.where("kind = 'word'").select(F.col("item").alias("word"), "n")
     meanings = counted.where(F.col("n") >= SUPPORT).where(r"length(word) >= 3 and word rlike '^\\p{L}+$'").select(F.col("word").alias("meant"), F.col("n").alias("n_meant"))
-    postings = cut(meanings.select("meant", "n_meant", F.explode(_grams_of("meant")).alias("g")).select("meant", "n_meant", "g.gram", "g.place"))
+    both = F.when(F.length("meant") >= LONG - EDITS, F.concat(_grams_of("meant", "2"), _grams_of("meant", "3"))).otherwise(_grams_of("meant", "2"))
+    postings = cut(meanings.select("meant", "n_meant", F.explode(both).alias("g")).select("meant", "n_meant", "g.gram", "g.place"))
     load = postings.groupBy("gram").agg(F.count("*").alias("load"))
     edits = F.when(F.length("word") < 5, EDITS - 1).otherwise(EDITS)
-    asked = words.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n_seen"), F.explode(_grams_of("word")).alias("g")).select("word", "n_seen", "g.gram", "g.place")
+    q = F.when(F.length("word") >= LONG, 3).otherwise(2)
+    # a word so long that no meaning comes near it has none: its bigrams need not be made
+    lengths = meanings.select(F.explode(F.array(*[F.length("meant") + d for d in range(-EDITS, EDITS + 1)])).alias("n_letters")).distinct()
+    near_some = words.withColumn("n_letters", F.length("word")).join(lengths, "n_letters", "left_semi").select("word")
+    asked = near_some.join(counted, "word", "left").select("word", F.coalesce("n", F.lit(1)).alias("n_seen"), F.explode(_grams_of("word", f"if(length(word) >= {LONG}, 3, 2)")).alias("g")).select("word", "n_seen", "g.gram", "g.place")
     rarest = F.array_sort(F.collect_list(F.struct(F.coalesce("load", F.lit(0)).alias("load"), "gram", "place")))
     keys = asked.join(load, "gram", "left").groupBy("word", "n_seen").agg(rarest.alias("g")).withColumn("edits", edits)
-    keys = keys.select("word", "n_seen", "edits", F.explode(F.slice("g", F.lit(1), 2 * F.col("edits") + 1)).alias("g")).where("g.load > 0")
+    keys = keys.select("word", "n_seen", "edits", F.explode(F.slice("g", F.lit(1), q * F.col("edits") + 1)).alias("g")).where("g.load > 0")
     keys = keys.select("word", "n_seen", "edits", "g.gram", F.explode(F.expr("sequence(g.place - edits, g.place + edits)")).alias("place")).repartition(spread(words, 4), "word")
     apart = F.abs(F.length("meant") - F.length("word")) <= F.col("edits")
     met = keys.join(postings, ["gram", "place"]).where(apart & (F.col("word") != F.col("meant")) & (F.col("n_meant") >= SUPPORT * F.col("n_seen")))
@@ -540,7 +553,7 @@ def _judged(texts: DataFrame, key: str, content: str) -> DataFrame:
     passed = cut(line_pass(with_edges, key, content, k, edger, breaker))
     unsure = passed.where("noise = '?'")
     # words that stand often in a text are taken as right for training, not those that look misread
-    repeated = unsure.where("n >= 3").groupBy("word").agg(F.max("n").alias("n")).orderBy(F.xxhash64("word")).limit(TRAIN_WORDS // 2).collect()
+    repeated = unsure.where("n >= 3").select("word").distinct().join(all_counts.where("kind = 'word'").withColumnRenamed("item", "word"), "word").orderBy(F.xxhash64("word")).limit(TRAIN_WORDS // 2).collect()
     often = {r["word"]: r["n"] for r in repeated}
     credible = trusted({**k.words, **often})
     fixed = corrections(unsure.select("word").distinct(), all_counts, k.total, train_ranking(k, {w: n for w, n in often.items() if w in credible}))
