@@ -8,6 +8,7 @@ are verified exactly: the item's words in order, with its names and figures.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ from pyspark.sql import functions as F
 
 from evidentia.session import widen
 
-WINDOW = 8  # words of a window; an item's shortest part that counts has more
-STEPS = 16  # of a walk: two for each word
-WALKS, SAMPLES, PLACES = 2, 3, 5  # keys: WALKS * SAMPLES, each of PLACES sampled steps
+WINDOW = 8  # words of a window; parts of fewer words are one window of their own length
+STEPS = 2 * WINDOW  # of a walk: two for each word
+WALKS, PLACES = 2, 5  # walks, and sampled steps in a key
+CHANGED, TARGET = 0.2, 0.99  # share of changed words, and the recall asked for at that share
+COMMON = 40  # a word is no name if it is in more than one of so many items
 BLOCK = 5_000  # items looked up at once; more are looked up in blocks
 SLICE = 200_000  # words embedded at once
 PASSAGE_SHARE, QUESTION_SHARE = 0.48, 0.85  # "half" and "whole", with a few changed words allowed
@@ -52,6 +55,29 @@ class _Symbols(dict):
         return got
 
 
+def samples_for(changed: float = CHANGED, target: float = TARGET) -> int:
+    """Samples a walk that reach the target for the shortest repeat that counts.
+
+    A key agrees where all its steps do, with a chance of about (1 - changed) ** PLACES. Half of a
+    passage of twice a window and a word has two windows.
+    """
+    agree = (1 - changed) ** PLACES
+    needed = math.log(1 - target) / math.log(1 - agree)
+    return max(1, math.ceil(needed / (2 * WALKS)))
+
+
+SAMPLES = samples_for()
+
+
+def _short_keys(symbols: np.ndarray, length: int) -> np.ndarray:
+    """Keys of the runs of ``length`` symbols that start at each symbol."""
+    n = max(0, len(symbols) - length + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(length):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + symbols[j : j + n]
+    return out ^ (out >> np.uint64(29))
+
+
 def _plan() -> list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
     """Per walk: the multipliers of its steps, and the places and multipliers of its samples."""
     rng = np.random.default_rng(20)
@@ -93,15 +119,23 @@ class Item:
 class Index:
     """All windows of a block of items, by key, and the items' words."""
 
-    def __init__(self, rows: list[tuple[int, str | None, str | None]]):
-        df: Counter = Counter()
+    def __init__(self, rows: list[tuple[int, str | None, str | None]], common: frozenset[str]):
         parts = [(i, words_of(p), words_of(q)) for i, q, p in rows]
-        for _, p, q in parts:
-            df.update(set(p + q))
-        often = max(4, len(parts) // 40)
-        rare = lambda w: any(c.isdigit() for c in w) or df[w] <= often
+        rare = lambda w: any(c.isdigit() for c in w) or w not in common
         self.items = [Item(i, p, q, {w for w in p + q if rare(w)}) for i, p, q in parts]
         symbol = _Symbols()
+        shorts: dict[int, list[tuple[int, list[str]]]] = {}
+        for k, it in enumerate(self.items):
+            for text in (it.passage, it.question):
+                if 0 < len(text) < WINDOW:
+                    shorts.setdefault(len(text), []).append((k, text))
+        # parts shorter than a window: their own length is the window, and all of it must agree
+        self.shorts = {}
+        for n, own in shorts.items():
+            ids = np.array([symbol[w] for _, text in own for w in text], np.uint32)
+            x = _short_keys(ids, n)[::n]
+            order = np.argsort(x, kind="stable")
+            self.shorts[n] = (x[order], [own[j] for j in order])
         owners, tables = [], [[] for _ in range(WALKS * SAMPLES)]
         for k, it in enumerate(self.items):
             for text in (it.passage, it.question):
@@ -122,6 +156,17 @@ class Index:
             bits[(x & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
             self.tables.append((x[order], self.owner[order], bits))
 
+    def whole_shorts(self, symbols: np.ndarray, starts: list[int], lists: list[list[str]]) -> Iterator[tuple[int, int]]:
+        """(document, item) of short parts that stand word for word in a document."""
+        for n, (sorted_keys, own) in self.shorts.items():
+            x = _short_keys(symbols, n)
+            lo, hi = np.searchsorted(sorted_keys, x, "left"), np.searchsorted(sorted_keys, x, "right")
+            for at in np.flatnonzero(hi > lo):
+                d = int(np.searchsorted(np.array(starts), at, "right")) - 1
+                for k, text in own[lo[at] : hi[at]]:
+                    if lists[d][at - starts[d] : at - starts[d] + n] == text:
+                        yield d, k
+
     def meet(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, item) of the windows that share a key with a window of an item."""
         places, owners = [], []
@@ -180,11 +225,11 @@ def leaked(item: Item, doc: list[str]) -> bool:
     return share >= QUESTION_SHARE and named >= 0.7
 
 
-def _found(docs: DataFrame, rows: list, key: str, text: str, item_key: str, kinds: tuple[str, str]) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+def _found(docs: DataFrame, rows: list, common: frozenset[str], key: str, text: str, item_key: str, kinds: tuple[str, str]) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast((rows, common))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, symbol = Index(sent.value), _Symbols()
+        index, symbol = Index(*sent.value), _Symbols()
         for pdf in batches:
             ids, texts = pdf[key].tolist(), pdf[text].tolist()
             out: list[tuple] = []
@@ -199,7 +244,10 @@ def _found(docs: DataFrame, rows: list, key: str, text: str, item_key: str, kind
                     flat += map(symbol.__getitem__, w)
                     flat += [0] * STEPS
                     k += 1
-                places, owners = index.meet(np.array(flat, np.uint32)) if flat else (np.empty(0, np.int64), np.empty(0, np.int32))
+                symbols = np.array(flat, np.uint32)
+                if flat and index.shorts:
+                    out += [(ids[first + d], index.items[i].item_id) for d, i in index.whole_shorts(symbols, starts, lists)]
+                places, owners = index.meet(symbols) if flat else (np.empty(0, np.int64), np.empty(0, np.int32))
                 if not len(places):
                     continue
                 of = np.searchsorted(np.array(starts), places, "right") - 1
@@ -226,20 +274,38 @@ def _spans(pair: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int
             yield int(pair[a]), int(places[a]), int(places[b - 1])
 
 
+def common_words(items: DataFrame) -> frozenset[str]:
+    """The words in more than one of ``COMMON`` of all items (and in more than four).
+
+    By share, so at most ``COMMON`` times the words of an item, whatever the number of items.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            df: Counter = Counter()
+            for q, p in zip(pdf["question"], pdf["passage"], strict=True):
+                df.update({*words_of(q), *words_of(p)})
+            yield pd.DataFrame(list(df.items()), columns=["word", "n"])
+
+    seen = items.select("question", "passage").mapInPandas(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return frozenset(r["word"] for r in seen.where(F.col("n") > max(4, items.count() // COMMON)).collect())
+
+
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id") -> DataFrame:
     """(key, item_key) of every document that holds an item's passage or question.
 
     Items, of a fixed number, are read by the driver in blocks of ``BLOCK`` and broadcast. Null and
-    empty texts hold nothing; null passages and questions, and those of fewer words than a window,
-    leak nowhere; repeated rows are one. Very long texts are read whole, in slices of documents.
+    empty texts hold nothing; null and empty passages and questions leak nowhere; those of fewer
+    words than a window leak where they stand word for word; repeated rows are one. Very long texts are read whole, in slices of documents.
     """
     kinds = (docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString())
     own = items.select(item_key, "question", "passage").dropDuplicates()
     blocks = max(1, -(-own.count() // BLOCK))
+    common = common_words(own)
     wide = widen(docs.select(key, text), 3)
     out = None
     for b in range(blocks):
         rows = [tuple(r) for r in own.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == b).collect()]
-        got = _found(wide, rows, key, text, item_key, kinds)
+        got = _found(wide, rows, common, key, text, item_key, kinds)
         out = got if out is None else out.unionByName(got)
     return out.distinct()

@@ -5,7 +5,8 @@ look-alike letters the script decides: a token mixed of scripts is rewritten in
 script, and a token wholly of look-alikes in the script of its text, where the rewritten token
 occurs in the vocabulary of the whole corpus. New names occur once and can be in no vocabulary of
 words, so the vocabulary also holds the parts of its words (three letters each): a rewritten token
-of which every part is known counts as occurring.
+of which every part is known counts as occurring. A part is known if it makes at least one in
+``PART_SHARE`` of the parts of all different words, so the test stays one in a corpus of any size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.session import widen
+from evidentia.session import cut, widen
+
+PART_SHARE = 1_000_000
 
 # Letters that look like Latin ones, by script.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХԌԚԜҮаеѕіјорсухԁһӏԛԝүҽ", "ABESIJKMHOPCTYXGQWYaesijopcyxdhlqwye", strict=True))
@@ -37,8 +40,31 @@ _LIGATURES = re.compile("[ﬀ-ﬆǄ-ǌĲĳ]")
 WORD = re.compile(r"[^\W\d_]+")
 
 
+def _styled() -> dict[str, str]:
+    """Styled letters (bold, script, black-letter, double-struck, circled, small capitals) by rule.
+
+    Compatibility gives the letter of all but small capitals, whose Unicode names hold it.
+    """
+    out = {}
+    for first, last in ((0x1D00, 0x1D22), (0x2102, 0x2138), (0x24B6, 0x24E9), (0x1D400, 0x1D6A5)):
+        for c in map(chr, range(first, last + 1)):
+            name, plain = unicodedata.name(c, ""), unicodedata.normalize("NFKC", c)
+            if name.startswith("LATIN LETTER SMALL CAPITAL ") and len(name) == 28:
+                out[c] = name[-1].lower()
+            elif len(plain) == 1 and plain.isascii() and plain.isalpha() and c not in "KÅ":
+                out[c] = plain
+    return out
+
+
+STYLED = _styled()
+_LETTER = rf"(?:[^\W\d_]|[{''.join(STYLED)}])"
+#: a styled letter alone is a symbol; beside another letter it is part of a word
+_STYLED = re.compile(rf"(?<={_LETTER})[{''.join(STYLED)}]|[{''.join(STYLED)}](?={_LETTER})")
+
+
 def base_form(text: str) -> str:
-    """Composed, of ordinary width, spaces and hyphens, without invisible characters and ligatures."""
+    """Composed, of ordinary width, spaces and hyphens and plain letters, without invisible
+    characters and ligatures."""
     if text.isascii():
         return text
     s = _INVISIBLE.sub("", text)
@@ -47,7 +73,7 @@ def base_form(text: str) -> str:
     s = _SPACES.sub(" ", _HYPHENS.sub("-", s))
     s = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), s)
     s = _LIGATURES.sub(lambda m: unicodedata.normalize("NFKC", m.group()), s)
-    return unicodedata.normalize("NFC", s)
+    return unicodedata.normalize("NFC", _STYLED.sub(lambda m: STYLED[m.group()], s))
 
 
 def script(c: str) -> str:
@@ -128,10 +154,11 @@ def vocabulary(items: DataFrame) -> DataFrame:
 
 def known_writings(items: DataFrame, asked: DataFrame) -> DataFrame:
     """The rows of ``asked`` (written) that occur in the corpus, as words or by all their parts."""
-    words = vocabulary(items)
+    words = cut(vocabulary(items))
     whole = words.join(asked, "written", "left_semi")
     parts = F.expr("transform(sequence(1, length(written) - 2), i -> substring(written, i, 3))")
-    grams = words.where("length(written) >= 3").select(F.explode(parts).alias("part")).distinct()
+    counted = cut(words.where("length(written) >= 3").select(F.explode(parts).alias("part")).groupBy("part").agg(F.count("*").alias("n")))
+    grams = counted.where(F.col("n") >= max(1, (counted.agg(F.sum("n")).first()[0] or 0) // PART_SHARE)).select("part")
     rest = asked.where(r"written rlike '^[^-]{3,}$'").join(whole, "written", "left_anti")
     split = rest.select("written", F.explode(F.array_distinct(parts)).alias("part"), F.size(F.array_distinct(parts)).alias("n"))
     new = split.join(grams, "part").groupBy("written", "n").count().where("count = n").select("written")
@@ -154,7 +181,8 @@ def plain_items(records: DataFrame, key: str = "record_id", title: str = "title"
             yield pdf.assign(base=base, pairs=[[{"token": a, "written": b} for a, b in rewritings(t)] for t in base])
 
     odd = items.where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    based = widen(odd).mapInPandas(run, f"{key} {kind}, field_name string, pos int, text string, base string, pairs {_ITEM}")
+    # written once, as three readers follow
+    based = cut(widen(odd).mapInPandas(run, f"{key} {kind}, field_name string, pos int, text string, base string, pairs {_ITEM}"))
     plain = based.where("size(pairs) = 0").select(key, "field_name", "pos", "text", F.col("base").alias("plain"))
     mixed = based.where("size(pairs) > 0").select(F.xxhash64("base").alias("h"), key, "field_name", "pos", "text", "base", "pairs")
     asked = mixed.select("h", F.explode("pairs").alias("p")).select("h", "p.token", "p.written", F.lower("p.written").alias("low")).distinct()

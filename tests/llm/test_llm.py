@@ -356,7 +356,7 @@ def test_leaks(spark):
 def test_lsh_recall_against_brute_force(spark, sf):
     docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/eval_items.parquet")
     got = {tuple(r) for r in leaks.find(docs, items).collect()}
-    index = leaks.Index([tuple(r) for r in items.select("item_id", "question", "passage").collect()])
+    index = leaks.Index([tuple(r) for r in items.select("item_id", "question", "passage").collect()], leaks.common_words(items))
     want = {(r["doc_id"], it.item_id) for r in docs.collect() for w in [leaks.words_of(r["text"])] for it in index.items if len(it.names.intersection(w)) >= 3 and leaks.leaked(it, w)}
     assert len(got & want) >= 0.9 * len(want) and not got - want
 
@@ -459,3 +459,15 @@ def test_scorer_agrees_with_predict():
     model = boosting.fit(x, (x[:, 0] + x[:, 2] > 1).astype(float))
     judge = boosting.scorer(model)
     assert [judge(r) for r in x.tolist()] == (boosting.predict(model, x) >= 0.5).tolist()
+
+
+def test_items_shorter_than_a_window_leak_word_for_word(spark):
+    items = spark.createDataFrame([(1, "Why do quolls limp?", None), (2, None, "Zorbax cures gout"), (3, "", None)], "item_id bigint, question string, passage string")
+    docs = spark.createDataFrame([(1, "They asked: why do QUOLLS limp? Nobody knew."), (2, "Zorbax, it is said, cures gout."), (3, "It was shown that *Zorbax* cures gout in dogs.")], "doc_id bigint, text string")
+    assert {tuple(r) for r in leaks.find(docs, items).collect()} == {(1, 1), (3, 2)}
+    assert leaks.samples_for(0.2, 0.999) > leaks.samples_for(0.2, 0.9)
+
+
+def test_styled_letters_within_words_are_plain():
+    assert lookalikes.base_form("𝐂ancer and ᴄell, 𝓶𝓸𝓾𝓼𝓮") == "Cancer and cell, mouse"
+    assert lookalikes.base_form("where 𝑥 is in ℝ") == "where 𝑥 is in ℝ"
