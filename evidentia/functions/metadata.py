@@ -96,9 +96,10 @@ def valid_authors(c: str | Column) -> Column:
 
 
 def string_list(c: str | Column) -> Column:
-    """A list or set written as text, with or without brackets, as an array."""
-    bare = F.regexp_replace(F.trim(_col(c)), r"^[\[{]|[\]}]$", "")
-    return F.transform(F.split(bare, ","), lambda x: F.regexp_replace(x, r"""^["' ]+|["' ]+$""", ""))
+    """A list or set written as text, with or without brackets, as an array; quoted commas stay."""
+    bare = F.regexp_replace(F.trim(_col(c)), r"^[\[{(]|[\]})]$", "")
+    items = F.regexp_extract_all(bare, F.lit(r"""\s*("[^"]*"|'[^']*'|[^,"'\s][^,]*)"""), F.lit(1))
+    return F.transform(items, lambda x: F.trim(F.regexp_replace(x, r"""^["']|["']$""", "")))
 
 
 def overwritten(value: str | Column, by: str | Column, fields: str | Column, name: str) -> Column:

@@ -120,6 +120,16 @@ def invalid_authors_removed(docs: DataFrame) -> DataFrame:
 
 
 def unique_docnames(docs: DataFrame, order: str) -> DataFrame:
-    """``docs`` with names made unique by a letter, the first of each name kept bare."""
-    k = F.row_number().over(Window.partitionBy("docname").orderBy(order))
-    return docs.withColumn("unique_docname", F.when(k == 1, F.col("docname")).otherwise(F.concat("docname", F.char(F.lit(95) + k))))
+    """``docs`` with names made unique by letters, the first of each name kept bare.
+
+    The second gets "a" and so on to "z", then two letters, then a number; where another document
+    bears that name already, the order key makes it unique.
+    """
+    k = F.row_number().over(Window.partitionBy("docname").orderBy(order)) - 2
+    letter = lambda n: F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), (n % 26 + 1).cast("int"), F.lit(1))
+    tail = F.when(k < 26, letter(k)).when(k < 702, F.concat(letter(F.floor(k / 26) - 1), letter(k))).otherwise(F.concat(F.lit("_"), k.cast("string")))
+    named = docs.withColumn("unique_docname", F.when(k < 0, F.col("docname")).otherwise(F.concat("docname", tail)))
+    taken = docs.select(F.col("docname").alias("unique_docname"), F.lit("x").alias("_taken")).distinct()
+    both = named.join(taken, "unique_docname", "left")
+    clash = F.col("_taken").isNotNull() & (F.col("unique_docname") != F.col("docname"))
+    return both.withColumn("unique_docname", F.when(clash, F.concat("unique_docname", F.lit("_x"), F.col(order).cast("string"))).otherwise(F.col("unique_docname"))).drop("_taken").select(*docs.columns, "unique_docname")

@@ -32,7 +32,7 @@ KINDS = ("total", "value", "value_2", "shape", "split", "join")
 DELIMITER = re.compile(r"\r?\n|[;|\t,]|\s&\s|\sand\s|(?<=[^\s;|,]) +(?=\"?https?://)")
 HARD = frozenset("\n|;\t")
 NEW_WORD = 0.02
-MAX_ATOMS = 8  # atoms of one value; a longer run is cut at its delimiters
+SHORT = 8  # atoms of a value that needs no support; longer ones must have been seen, as text or shape
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 
 
@@ -123,10 +123,12 @@ class _Model:
         self.tables, self.memo = tables, {}
 
     @staticmethod
+    @lru_cache(200_000)
     def bucket(column: str, key: str) -> int:
         return xxhash.xxh64_intdigest(f"{column}\x00{key}") % BUCKETS
 
     @staticmethod
+    @lru_cache(400_000)
     def value_buckets(column: str, text: str) -> tuple[int, int]:
         h = xxhash.xxh64_intdigest(f"{column}\x00{text.casefold()}")
         return h % BUCKETS, (h >> 32) % BUCKETS
@@ -149,6 +151,12 @@ class _Model:
                 self.memo[(column, text)] = got
         return got
 
+    def supported(self, column: str, text: str) -> bool:
+        """Whether a value or its shape has been counted more than once."""
+        t = self.tables
+        a, b = self.value_buckets(column, text)
+        return min(t["value"][a], t["value_2"][b]) > 1.0 or t["shape"][self.bucket(column, shape(text)[0])] > 1.0
+
     def split_score(self, column: str, sign: str) -> tuple[float, float]:
         t = self.tables
         got = self.memo.get((column, "", sign))
@@ -159,13 +167,18 @@ class _Model:
         return got
 
 
-def _edges(atoms: list[tuple[str, bool]], signs: list[str]) -> list[list[tuple[int, str]]]:
-    """For each end atom the candidate values as (first atom, text)."""
+def _edges(column: str, atoms: list[tuple[str, bool]], signs: list[str], model: _Model) -> list[list[tuple[int, str]]]:
+    """For each end atom the candidate values as (first atom, text).
+
+    A value may have any number of atoms. Up to ``SHORT`` atoms every run is a candidate; a longer
+    one is where it is supported by the counts: without support its score is that of new words
+    only.
+    """
     n = len(atoms)
     out: list[list[tuple[int, str]]] = [[] for _ in range(n)]
     for e in range(n):
         text = ""
-        for b in range(e, max(-1, e - MAX_ATOMS), -1):
+        for b in range(e, -1, -1):
             part, quoted = atoms[b]
             if quoted:
                 if b == e:
@@ -174,12 +187,13 @@ def _edges(atoms: list[tuple[str, bool]], signs: list[str]) -> list[list[tuple[i
             text = part if b == e else part + signs[b] + text
             if b < e and (_sign_kind(signs[b]) in ("\n", "\t") or not part.strip()):
                 break
-            out[e].append((b, text.strip()))
+            if e - b < SHORT or model.supported(column, text.strip()):
+                out[e].append((b, text.strip()))
     return out
 
 
 def _lattice(column: str, atoms, signs, model: _Model):
-    edges = _edges(atoms, signs)
+    edges = _edges(column, atoms, signs, model)
     scored = []
     for e, cands in enumerate(edges):
         row = []
@@ -298,6 +312,10 @@ def _expect(column: str, cell: str, n: float, counts: _Counts, model: _Model) ->
             counts.value(column, v, n)
         return
     atoms, signs = atoms_of(cell)
+    if not signs:  # one atom has one reading
+        if atoms[0][0].strip():
+            counts.value(column, atoms[0][0].strip(), n)
+        return
     for b, e, text, p in _posteriors(_lattice(column, atoms, signs, model)):
         if text:
             counts.value(column, text, n * p)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,11 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from evidentia.functions.text import _col
-from evidentia.functions.vectors import cosine
 from evidentia.session import widen
 
 K1, B = 1.2, 0.75
 MAX_TOKEN_BYTES = 40
+QUERY_BLOCK = 1_000  # query vectors sent to all tasks at once
 BROADCAST_ROWS = 100_000  # queries sent to all tasks at once; more are joined by shuffles
 
 
@@ -40,11 +42,6 @@ def term_statistics(docs: DataFrame, key: str, text: str) -> DataFrame:
     return seen.unionAll(used).groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint where its rows are few enough to send; counted, not assumed."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text", query_key: str = "query_id", query: str = "query", offset: int = 0, min_score: float = 0.0) -> DataFrame:
     """(query_key, key, rank, score): the ``k`` best documents of each query after ``offset``.
 
@@ -70,22 +67,69 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text:
     return ranked.select(query_key, key, "rank", "score")
 
 
-def similarities(items: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
-    """(query_key, key, similarity) of a query set against all items.
+def similarities(items: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", keep: int | None = None, part: str | None = None) -> DataFrame:
+    """(query_key, key, part, similarity) of a query set against all items.
 
-    ``queries`` holds (query_key, query_vector): a stated, small set, sent to all tasks after its
-    rows are counted. Items with a zero vector come last.
+    ``queries`` holds (query_key, query_vector). They are sent to all tasks in blocks of
+    ``QUERY_BLOCK``; each batch of items meets a block in one matrix product. With ``keep`` a batch
+    gives only its own ``keep`` best of each query (and ``part``), ties included, so no more than
+    that leaves it. Null and zero vectors come last, at minus infinity.
     """
-    q = _small(queries.select(query_key, "query_vector"))
-    both = items.crossJoin(q)  # a stated query set against all items
-    return both.withColumn("similarity", F.coalesce(cosine(vector, "query_vector"), F.lit(float("-inf"))))
+    kinds = {c: items.schema[c].dataType.simpleString() for c in (key, *([part] if part else []))}
+    schema = ", ".join([f"{query_key} {queries.schema[query_key].dataType.simpleString()}", *[f"{c} {t}" for c, t in kinds.items()], "similarity double"])
+    own = items.select(*kinds, F.col(vector).cast("array<double>").alias("_v"))
+    asked = queries.select(query_key, F.col("query_vector").cast("array<double>").alias("_q"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    out = None
+    for n in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == n).collect()
+        got = own.mapInPandas(_compared([(r[0], r[1]) for r in rows], list(kinds), query_key, keep, part), schema)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _unit(vectors: list, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, and which of them are null or zero."""
+    m = np.array([v if v is not None and len(v) == size else np.zeros(size) for v in vectors], float).reshape(len(vectors), size)
+    norm = np.linalg.norm(m, axis=1)
+    return m / np.where(norm > 0, norm, 1.0)[:, None], norm == 0
+
+
+def _compared(asked: list[tuple], columns: list[str], query_key: str, keep: int | None, part: str | None):
+    size = max((len(v) for _, v in asked if v is not None), default=0)
+    unit, empty = _unit([v for _, v in asked], size)
+
+    def best(sim: np.ndarray) -> np.ndarray:
+        if keep is None or len(sim) <= keep:
+            return np.arange(len(sim))
+        rounded = np.round(sim, 9)
+        return np.flatnonzero(rounded >= np.partition(rounded, len(sim) - keep)[len(sim) - keep])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            vectors, none = _unit(pdf["_v"].tolist(), size)
+            sims = vectors @ unit.T
+            sims[none, :] = -np.inf
+            sims[:, empty] = -np.inf
+            groups = [np.arange(len(pdf))] if part is None else [np.asarray(g) for g in pdf.groupby(part, dropna=False).indices.values()]
+            out = []
+            for j, (q, _) in enumerate(asked):
+                for g in groups:
+                    at = g[best(sims[g, j])]
+                    one = pdf[columns].iloc[at].copy()
+                    one.insert(0, query_key, q)
+                    one["similarity"] = sims[at, j]
+                    out.append(one)
+            yield pd.concat(out) if out else pd.DataFrame(columns=[query_key, *columns, "similarity"])
+
+    return run
 
 
 def cosine_top_k(items: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id") -> DataFrame:
     """The ``k`` most similar items of each query; ties go to the smaller key."""
-    s = similarities(items.select(key, vector), queries, key, vector, query_key)
+    s = similarities(items, queries, key, vector, query_key, keep=k)
     rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc(F.round("similarity", 9)), key))
-    return s.select(query_key, key, "similarity").withColumn("rank", rank).where(F.col("rank") <= k)
+    return s.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def partitioned_top_k(scored: DataFrame, part: str, k: int, query_key: str = "query_id", key: str = "vec_id") -> DataFrame:

@@ -56,16 +56,10 @@ def _pages(s: SparkSession, d: str) -> DataFrame:
 
 
 def _contexts(s: SparkSession, d: str) -> DataFrame:
-    return _docs(s, d).where("text <> ''").select(F.col("doc_id").alias("ctx_id"), F.coalesce("dockey", F.lit("none")).alias("dockey"), F.coalesce("doc_kind", F.lit("none")).alias("question"), F.col("source").alias("session"), F.concat(F.lit("chunk "), F.col("doc_id").cast("string")).alias("name"), F.pmod("doc_id", F.lit(11)).cast("int").alias("score"), F.substring("text", 1, 60).alias("context"))
+    return _docs(s, d).where("text <> ''").select(F.col("doc_id").alias("ctx_id"), F.coalesce("dockey", F.lit("none")).alias("dockey"), F.coalesce("doc_kind", F.lit("none")).alias("question"), F.col("source").alias("session"), F.concat(F.lit("chunk "), F.col("doc_id").cast("string")).alias("name"), F.pmod("doc_id", F.lit(11)).cast("int").alias("score"), F.col("text").alias("context"))
 
 
-def _whole(s: SparkSession, d: str) -> DataFrame:
-    """The contexts with the whole of their texts."""
-    return _contexts(s, d).drop("context").join(_docs(s, d).select(F.col("doc_id").alias("ctx_id"), F.col("text").alias("context")), "ctx_id")
-
-
-_CONTEXTS = "(select doc_id ctx_id, coalesce(dockey,'none') dockey, coalesce(doc_kind,'none') question, source as session, 'chunk '||doc_id as name, (doc_id % 11)::int score, substr(text,1,60) context from documents where text <> '')"
-_WHOLE = _CONTEXTS.replace("substr(text,1,60) context", "text as context")
+_CONTEXTS = "(select doc_id ctx_id, coalesce(dockey,'none') dockey, coalesce(doc_kind,'none') question, source as session, 'chunk '||doc_id as name, (doc_id % 11)::int score, text as context from documents where text <> '')"
 _PAGES = "(select text_id dockey, unnest(string_split(content, chr(12))) as text, generate_subscripts(string_split(content, chr(12)),1) page_no from parsed_texts)"
 _CANON = r"nullif(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(replace(replace(doi,'%2f','/'),'%2F','/'),'\s+','','g')),'^(https?://)?([a-z0-9-]+\.)*doi\.org/',''),'^(info:|urn:)?doi[:/]?',''),'^x^',''),'')"
 
@@ -318,18 +312,12 @@ def jn13_cluster_boxes(s, d):
     return geometry.cluster_boxes(_boxes(s, d, "O"), "page", 0.05)
 
 
-_LONG = "regexp_extract(lower(title),'([a-z]{9,})',1)"
-
-
-@query(f"""with a as (select paper_id asked_id, title, {_LONG} w from s2_papers where regexp_matches(title,'^[\\x20-\\x7e]+$')), b as (select record_id candidate_id, title t2, {_LONG} w from doc_details where regexp_matches(title,'^[\\x20-\\x7e]+$')),
-m as (select asked_id, candidate_id, list_distinct(list_filter(string_split_regex(lower(title),'\\s+'), lambda x: x<>'')) x, list_distinct(list_filter(string_split_regex(lower(t2),'\\s+'), lambda x: x<>'')) y from a join b using (w) where w<>''),
-k as (select asked_id, candidate_id, len(list_intersect(x,y))::double/len(list_distinct(list_concat(x,y))) sim from m) select asked_id, arg_max(candidate_id, (round(sim,9), -candidate_id)) candidate_id, round(max(sim),6) similarity from k group by 1""")
+@query()
 def jn14_best_title(s, d):
-    word = F.regexp_extract(F.lower("title"), "([a-z]{9,})", 1).alias("w")
-    plain = F.col("title").rlike(r"^[\x20-\x7e]+$")
-    a = table(s, d, "s2_papers").where(plain).select(F.col("paper_id").alias("asked_id"), F.col("title").alias("asked_title"), word).where("w <> ''")
-    b = _details(s, d).where(plain).select(F.col("record_id").alias("candidate_id"), F.col("title").alias("found_title"), word).where("w <> ''")
-    return joins.best_title(a, b, "w", F.round(T.similarity("asked_title", "found_title"), 9)).withColumn("similarity", F.round("similarity", 6))
+    a = table(s, d, "s2_papers").where("paper_id % 100 = 0").select(F.col("paper_id").alias("asked_id"), F.col("title").alias("asked_title"))
+    met = providers.by_title(a, _details(s, d).select("record_id", "title"), 0.0).withColumn("similarity", F.round("similarity", 9))
+    best = met.groupBy("asked_id").agg(F.max_by("record_id", F.struct("similarity", (-F.col("record_id")).alias("low"))).alias("candidate_id"), F.max("similarity").alias("similarity"))
+    return best.withColumn("similarity", F.round("similarity", 6))
 
 
 @query()
@@ -367,9 +355,9 @@ def agg4_status(s, d):
     return aggregates.status(_contexts(s, d))
 
 
-@query(f"select question, min(ctx_id) as first, string_agg(context, chr(10)||chr(10) order by ctx_id) section from {_CONTEXTS} group by question")
+@query(f"select question, min(ctx_id) as first, md5(string_agg(context, chr(10)||chr(10) order by ctx_id)) section from {_CONTEXTS} group by question")
 def agg5_sections(s, d):
-    return aggregates.sections(_contexts(s, d), "question", "ctx_id", "context")
+    return aggregates.sections(_contexts(s, d), "question", "ctx_id", "context").withColumn("section", F.md5("section"))
 
 
 @query(f"select dockey, md5(string_agg(context,'' order by ctx_id)) body from {_CONTEXTS} group by dockey")
@@ -377,16 +365,6 @@ def agg6_joined_text(s, d):
     return aggregates.joined_text(_contexts(s, d), "dockey", "ctx_id", "context").withColumn("body", F.md5("body"))
 
 
-@query(f"select question, min(ctx_id) as first, md5(string_agg(context, chr(10)||chr(10) order by ctx_id)) section from {_WHOLE} group by question")
-def agg5_sections_whole(s, d):
-    return aggregates.sections(_whole(s, d), "question", "ctx_id", "context").withColumn("section", F.md5("section"))
-
-
-@query(f"select dockey, md5(string_agg(context,'' order by ctx_id)) body from {_WHOLE} group by dockey")
-def agg6_joined_text_whole(s, d):
-    return aggregates.joined_text(_whole(s, d), "dockey", "ctx_id", "context").withColumn("body", F.md5("body"))
-
-
 @query(f"select dockey, md5(string_agg(text, chr(10)||chr(10) order by page_no)) body from {_PAGES} group by dockey")
 def agg7_reduced_pages(s, d):
     return aggregates.joined_text(_pages(s, d), "dockey", "page_no", "text", "\n\n").withColumn("body", F.md5("body"))
@@ -422,7 +400,7 @@ def agg11_media_counts(s, d):
 
 def _similar(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "embeddings")
-    return retrieval.similarities(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")))
+    return retrieval.similarities(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector")), keep=10, part="label")
 
 
 _SIM = "(select q.vec_id query_id, e.vec_id, e.label, list_cosine_similarity(e.embedding::double[], q.embedding::double[]) sim from embeddings e, embeddings q where q.vec_id % 100 = 0)"
@@ -529,16 +507,15 @@ def str2_name_in_text(s, d):
     return _docs(s, d).where("text is not null").select("doc_id", T.name_in_text(F.lit(" results "), "text").alias("found"))
 
 
-@query(r"""with m as (select record_id, list_distinct(list_filter(string_split_regex(lower(title),'\s+'), lambda x: x<>'')) x, list_distinct(list_filter(string_split_regex(lower(journal),'\s+'), lambda x: x<>'')) y, title, journal from doc_details)
-select record_id, case when coalesce(title,'')='' or coalesce(journal,'')='' or len(list_distinct(list_concat(x,y)))=0 then 0.0 else round(len(list_intersect(x,y))::double/len(list_distinct(list_concat(x,y))),6) end similarity from m where regexp_matches(coalesce(title,'')||coalesce(journal,''),'^[\x20-\x7e]*$')""")
+@query(r"""with m as (select record_id, list_distinct(list_filter(string_split_regex(lower(title),'[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x<>'')) x, list_distinct(list_filter(string_split_regex(lower(journal),'[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x<>'')) y, title, journal from doc_details)
+select record_id, case when coalesce(title,'')='' or coalesce(journal,'')='' or len(list_distinct(list_concat(x,y)))=0 then 0.0 else round(len(list_intersect(x,y))::double/len(list_distinct(list_concat(x,y))),6) end similarity from m""")
 def str3_similarity(s, d):
-    plain = F.concat(F.coalesce("title", F.lit("")), F.coalesce("journal", F.lit(""))).rlike(r"^[\x20-\x7e]*$")
-    return _details(s, d).where(plain).select("record_id", F.round(T.similarity("title", "journal"), 6).alias("similarity"))
+    return _details(s, d).select("record_id", F.round(T.similarity("title", "journal"), 6).alias("similarity"))
 
 
-@query(r"select record_id, regexp_replace(citation, '\b[\w\-]+\set\sal\.\s\([0-9]{4}\)|\([^)]*?[a-zA-Z][^)]*?[0-9]{4}[^)]*?\)', '', 'g') stripped from doc_details where citation is not null and regexp_matches(citation,'^[\x20-\x7e]*$')")
+@query(r"select record_id, regexp_replace(citation, '[\w-]+\s+et\s+al\.\s+\(\d{4}\)|\([^)A-Za-z]*[A-Za-z][^)]*\d{4}[^)]*\)', '', 'g') stripped from doc_details where citation is not null")
 def str4_strip_citations(s, d):
-    return _details(s, d).where(F.col("citation").rlike(r"^[\x20-\x7e]*$")).select("record_id", T.strip_citations("citation").alias("stripped"))
+    return _details(s, d).where("citation is not null").select("record_id", T.strip_citations("citation").alias("stripped"))
 
 
 @query(r"""select doc_id, (case when n>10 then n//10 else n end)::int score from (select doc_id, coalesce(nullif(regexp_extract(t,'[sS]core[:is\s]+([0-9]+)',1),''), nullif(regexp_extract(t,'\(([0-9])\w*/',1),''), nullif(regexp_extract(t,'([0-9]+)\w*/',1),''))::bigint n from (select doc_id, case doc_id%3 when 0 then 'good. Score: '||(doc_id%101) when 1 then 'fine ('||(doc_id%10)||'/10)' else (doc_id%100)||'/100 so' end t from documents))""")
@@ -548,7 +525,9 @@ def str5_score(s, d):
     return _docs(s, d).select("doc_id", R.score_of(t).alias("score"))
 
 
-@query()
+@query("""with c as (select doc_id, unnest(string_split(regexp_replace(text,'[^()]','','g'),'')) ch, generate_subscripts(string_split(regexp_replace(text,'[^()]','','g'),''),1) i from documents where text is not null),
+s as (select doc_id, ch, sum(case ch when '(' then 1 else -1 end) over (partition by doc_id order by i) b from c where ch<>''),
+m as (select doc_id, (count(case when ch=')' then 1 end) + least(0, min(b)))::int n from s group by 1) select doc_id, coalesce(n,0)::int n from documents left join m using (doc_id) where text is not null""")
 def str6_parentheses(s, d):
     return _docs(s, d).where("text is not null").select("doc_id", F.size(T.nested_parentheses("text")).alias("n"))
 
@@ -570,14 +549,16 @@ def str9_without(s, d):
     return _details(s, d).where("docname is not null").select("record_id", T.without("docname", list("aeiou")).alias("bare"))
 
 
-@query("select record_id, strip_accents(title) plain from doc_details where regexp_matches(title, '^[\\x20-\\x7eÀ-ÿ]*$')")
+@query()
 def str10_accents(s, d):
-    return _details(s, d).where(F.col("title").rlike(r"^[\x20-\x7eÀ-ÿ]*$")).select("record_id", T.strip_accents("title").alias("plain"))
+    return _details(s, d).where("title is not null").select("record_id", T.strip_accents("title").alias("plain"))
 
 
-@query()
+@query("""select item_id, case item_id%4 when 0 then topic||'s quoted parts end' when 1 then ' '||topic||' of '||item_id when 2 then topic||' '||topic||'s' else 's '||topic end cleaned from eval_items where not contains(topic,chr(39))""")
 def str11_possessives(s, d):
-    return table(s, d, "eval_items").select("item_id", T.clean_possessives(F.concat("topic", F.lit("'s 'quoted' parts' end"))).alias("cleaned"))
+    k, t = F.col("item_id") % 4, F.col("topic")
+    said = F.when(k == 0, F.concat(t, F.lit("'s 'quoted' parts' end"))).when(k == 1, F.concat(F.lit(" '"), t, F.lit("' of '"), F.col("item_id").cast("string"))).when(k == 2, F.concat(t, F.lit(" ' "), t, F.lit("s'"))).otherwise(F.concat(F.lit("s' "), t))
+    return table(s, d, "eval_items").where("not contains(topic, chr(39))").select("item_id", T.clean_possessives(said).alias("cleaned"))
 
 
 @query("select record_id, coalesce(nullif(regexp_extract(citation,'([A-Z][a-z]+)',1),''), nullif(regexp_extract(citation,'([A-Z0-9]{2,})',1),''), 'Doc'||substr(md5(citation),1,8)) || regexp_extract(citation,'([0-9]{4})',1) docname from doc_details where citation is not null")
@@ -585,10 +566,9 @@ def str12_docname(s, d):
     return _details(s, d).where("citation is not null").select("record_id", T.docname("citation").alias("docname"))
 
 
-@query(r"""select record_id, translate(lower(strip_accents(list_last(string_split_regex(trim(authors[1]),'\s+'))))||pub_year||array_to_string(string_split_regex(trim(lower(title)),'\s+')[1:3],''), '_ -/''`:,'||chr(10), '') as key
-from doc_details where regexp_matches(title,'^[\x20-\x7e]+$') and pub_year is not null and len(authors)>0 and regexp_matches(authors[1],'^[\x20-\x7eÀ-ÿ]+$')""")
+@query()
 def str13_bibtex_key(s, d):
-    own = _details(s, d).where(F.col("title").rlike(r"^[\x20-\x7e]+$") & F.col("pub_year").isNotNull() & (F.size("authors") > 0)).where(F.get("authors", F.lit(0)).rlike(r"^[\x20-\x7eÀ-ÿ]+$"))
+    own = _details(s, d).where("title is not null and pub_year is not null and get(authors, 0) is not null")
     return own.select("record_id", M.bibtex_key("authors", "pub_year", "title").alias("key"))
 
 
@@ -597,9 +577,13 @@ def str14_bibtex_field(s, d):
     return _details(s, d).where("bibtex is not null").select("record_id", M.bibtex_field("bibtex", "publisher").alias("publisher"))
 
 
-@query("select record_id, replace('@BookSection{a, title={b}}','@BookSection','@book') fixed, '@article{x}' as none from doc_details")
+_KINDS = ["@BookSection", "@article", "@None", "@misc"]
+
+
+@query("select record_id, (case record_id % 4 when 0 then '@book' when 3 then '@misc' else '@article' end) || '{r'||record_id||', title={b}}' fixed from doc_details")
 def str15_repair_bibtex(s, d):
-    return _details(s, d).select("record_id", M.repaired_bibtex(F.lit("@BookSection{a, title={b}}")).alias("fixed"), M.repaired_bibtex(F.lit("@None{x}")).alias("none"))
+    kind = F.get(F.array(*[F.lit(k) for k in _KINDS]), (F.col("record_id") % 4).cast("int"))
+    return _details(s, d).select("record_id", M.repaired_bibtex(F.concat(kind, F.lit("{r"), F.col("record_id").cast("string"), F.lit(", title={b}}"))).alias("fixed"))
 
 
 @query()
@@ -613,9 +597,9 @@ def str17_bibtex_type(s, d):
     return _details(s, d).select("record_id", M.bibtex_type("bibtex_type").alias("kind"))
 
 
-@query(r"select record_id, regexp_replace(trim(a), '^([^,]+),\s*(.+)$', '\2 \1') as name from (select record_id, unnest(authors) a from doc_details) where a is not null and regexp_matches(a,'^[\x20-\x7e]+$')")
+@query(r"select record_id, regexp_replace(trim(a), '^([^,]+),\s*(.+)$', '\2 \1') as name from (select record_id, unnest(authors) a from doc_details) where a is not null")
 def str18_given_first(s, d):
-    return _details(s, d).select("record_id", F.explode("authors").alias("a")).where(F.col("a").rlike(r"^[\x20-\x7e]+$")).select("record_id", T.given_first("a").alias("name"))
+    return _details(s, d).select("record_id", F.explode("authors").alias("a")).where("a is not null").select("record_id", T.given_first("a").alias("name"))
 
 
 @query(r"""select record_id, regexp_replace(substr(title,1,48), '[/\\?%*:|"<>\x7f\x00-\x1f]', '-', 'g')||'_'||dockey as name from doc_details where title is not null""")
@@ -637,9 +621,9 @@ def str21_proposed(s, d):
     return table(s, d, "eval_items").select("item_id", F.get(q, F.lit(0)).alias("first"), F.size(q).alias("n"))
 
 
-@query(r"select record_id, lower(regexp_replace(concat_ws('',docname,string_split_regex(trim(title),'\s+')[1],pub_year), '[^\p{L}\p{N}]','','g')) as key from doc_details where title is not null and regexp_matches(title,'^[\x20-\x7e]+$')")
+@query(r"select record_id, lower(regexp_replace(concat_ws('',docname,string_split_regex(trim(title),'\s+')[1],pub_year), '[^\p{L}\p{N}]','','g')) as key from doc_details where title is not null")
 def str22_library_key(s, d):
-    return _details(s, d).where(F.col("title").rlike(r"^[\x20-\x7e]+$")).select("record_id", T.library_key("docname", "title", F.col("pub_year").cast("string")).alias("key"))
+    return _details(s, d).where("title is not null").select("record_id", T.library_key("docname", "title", F.col("pub_year").cast("string")).alias("key"))
 
 
 @query("select doc_id, coalesce(source,'')||' done' as text from documents")
@@ -700,7 +684,7 @@ def hsh1_identity(s, d):
     return _details(s, d).where("docname is not null").select("record_id", M.encode_id("docname").alias("encoded"), M.doc_id("doi", "dockey").alias("doc_id"), M.context_id("docname", F.coalesce("title", F.lit(""))).alias("ctx_id"))
 
 
-@query()
+@query("select doc_id, coalesce(source,'') summary, (doc_id % 10)::int relevance_score from documents")
 def jsn1_reply(s, d):
     t = F.concat(F.lit('<think>hm</think>```json\n{"summary": "'), F.coalesce("source", F.lit("")), F.lit('",, "relevance score": "'), (F.col("doc_id") % 10).cast("string"), F.lit('/10",}\n```'))
     return _docs(s, d).select("doc_id", R.reply(t).alias("r")).select("doc_id", "r.summary", "r.relevance_score")
@@ -785,9 +769,11 @@ def v8_key(s, d):
     return _details(s, d).select("record_id", M.clean_key(F.concat(F.lit("<i>"), "docname", F.lit("</i>"))).alias("key"))
 
 
-@query("select record_id, 'key,doc_id' as parsed from doc_details")
+@query("select record_id, case record_id % 3 when 0 then 'key|doc_id|'||record_id when 1 then 'a, b|c'||record_id else 'x|y' end as parsed from doc_details")
 def v9_string_list(s, d):
-    return _details(s, d).select("record_id", F.array_join(M.string_list(F.lit("{'key', \"doc_id\"}")), ",").alias("parsed"))
+    k, n = F.col("record_id") % 3, F.col("record_id").cast("string")
+    cell = F.when(k == 0, F.concat(F.lit("{'key', \"doc_id\", "), n, F.lit("}"))).when(k == 1, F.concat(F.lit("['a, b', c"), n, F.lit("]"))).otherwise("x,y")
+    return _details(s, d).select("record_id", F.array_join(M.string_list(cell), "|").alias("parsed"))
 
 
 # Chunks
@@ -874,15 +860,9 @@ def udf5_partition(s, d):
     return _docs(s, d).select("doc_id", trials.is_trial(F.coalesce("text", F.lit(""))).alias("part"))
 
 
-@query(f"select question, string_agg(ctx_id||': '||context, chr(10)||chr(10) order by ctx_id) section, min(ctx_id) as first from (select * from {_CONTEXTS} where score>=1) group by question")
+@query(f"select question, md5(string_agg(ctx_id||': '||context, chr(10)||chr(10) order by ctx_id)) section, min(ctx_id) as first from (select * from {_CONTEXTS} where score>=1) group by question")
 def ans2_context(s, d):
     c = _contexts(s, d).where("score >= 1").withColumn("line", F.concat_ws(": ", F.col("ctx_id").cast("string"), "context"))
-    return aggregates.sections(c, "question", "ctx_id", "line")
-
-
-@query(f"select question, md5(string_agg(ctx_id||': '||context, chr(10)||chr(10) order by ctx_id)) section, min(ctx_id) as first from (select * from {_WHOLE} where score>=1) group by question")
-def ans2_context_whole(s, d):
-    c = _whole(s, d).where("score >= 1").withColumn("line", F.concat_ws(": ", F.col("ctx_id").cast("string"), "context"))
     return aggregates.sections(c, "question", "ctx_id", "line").withColumn("section", F.md5("section"))
 
 
@@ -893,13 +873,10 @@ def ans4_cited(s, d):
     return answering.cited(answers, c.select("ctx_id", "name", F.col("session").alias("dockey")), c.select(F.col("session").alias("dockey"), "citation"))
 
 
-@query(r"""with a as (select paper_id asked_id, title asked_title, string_split_regex(lower(title),'\s+') x from s2_papers where regexp_matches(title,'^[\x20-\x7e]+$') and paper_id % 100 = 0), b as (select record_id, title, string_split_regex(lower(title),'\s+') y from doc_details where regexp_matches(title,'^[\x20-\x7e]+$')),
-k as (select asked_id, record_id, list_distinct(list_filter(x, lambda w: w<>'')) x, list_distinct(list_filter(y, lambda w: w<>'')) y from a, b where list_has_any(list_filter(x, lambda w: length(w)>3), list_filter(y, lambda w: length(w)>3)))
-select asked_id, record_id, round(len(list_intersect(x,y))::double/len(list_distinct(list_concat(x,y))),6) similarity from k where len(list_intersect(x,y))::double/len(list_distinct(list_concat(x,y))) >= 0.75""")
+@query()
 def hlp2_title_lookup(s, d):
-    plain = F.col("title").rlike(r"^[\x20-\x7e]+$")
-    a = table(s, d, "s2_papers").where(plain & (F.col("paper_id") % 100 == 0)).select(F.col("paper_id").alias("asked_id"), F.col("title").alias("asked_title"))
-    return providers.by_title(a, _details(s, d).where(plain).select("record_id", "title")).select("asked_id", "record_id", F.round("similarity", 6).alias("similarity"))
+    a = table(s, d, "s2_papers").where("paper_id % 100 = 0").select(F.col("paper_id").alias("asked_id"), F.col("title").alias("asked_title"))
+    return providers.by_title(a, _details(s, d).select("record_id", "title")).select("asked_id", "record_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"select a.record_id asked_id, b.record_id from doc_details a join doc_details b on lower(a.doi) = {_NORMAL.format('b.doi')} where a.record_id % 100 = 0")
@@ -922,51 +899,3 @@ def hlp6_source_list(s, d):
 @query("select doc_id, 'data:image/png;base64,'||base64(encode(source)) as url from documents where source is not null")
 def hlp10_data_url(s, d):
     return _docs(s, d).where("source is not null").select("doc_id", T.data_url(F.col("source").cast("binary")).alias("url"))
-
-
-# Over all titles and names: no SQL, as DuckDB's classes of letters differ beyond ASCII
-
-
-@query()
-def jn14_best_title_all(s, d):
-    a = table(s, d, "s2_papers").select(F.col("paper_id").alias("asked_id"), F.col("title").alias("asked_title"))
-    met = providers.by_title(a, _details(s, d).select("record_id", "title"), 0.0).withColumn("similarity", F.round("similarity", 9))
-    best = met.groupBy("asked_id").agg(F.max_by("record_id", F.struct("similarity", (-F.col("record_id")).alias("low"))).alias("candidate_id"), F.max("similarity").alias("similarity"))
-    return best.withColumn("similarity", F.round("similarity", 6))
-
-
-@query()
-def hlp2_title_lookup_all(s, d):
-    a = table(s, d, "s2_papers").select(F.col("paper_id").alias("asked_id"), F.col("title").alias("asked_title"))
-    return providers.by_title(a, _details(s, d).select("record_id", "title")).select("asked_id", "record_id", F.round("similarity", 6).alias("similarity"))
-
-
-@query()
-def str3_similarity_all(s, d):
-    return _details(s, d).select("record_id", F.round(T.similarity("title", "journal"), 6).alias("similarity"))
-
-
-@query()
-def str4_strip_citations_all(s, d):
-    return _details(s, d).where("citation is not null").select("record_id", T.strip_citations("citation").alias("stripped"))
-
-
-@query()
-def str10_accents_all(s, d):
-    return _details(s, d).where("title is not null").select("record_id", T.strip_accents("title").alias("plain"))
-
-
-@query()
-def str13_bibtex_key_all(s, d):
-    own = _details(s, d).where("title is not null and pub_year is not null and authors[0] is not null")
-    return own.select("record_id", M.bibtex_key("authors", "pub_year", "title").alias("key"))
-
-
-@query()
-def str18_given_first_all(s, d):
-    return _details(s, d).select("record_id", F.explode("authors").alias("a")).where("a is not null").select("record_id", T.given_first("a").alias("name"))
-
-
-@query()
-def str22_library_key_all(s, d):
-    return _details(s, d).where("title is not null").select("record_id", T.library_key("docname", "title", F.col("pub_year").cast("string")).alias("key"))

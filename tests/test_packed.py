@@ -58,3 +58,10 @@ def test_very_long_cell(spark):
     cell = ";".join(f"(AB) N{i}" for i in range(3000))
     got = packed.unpack(_rows(spark, [(1, cell, None, 0)]), "row_id", ["subject"])
     assert got.count() == 3000
+
+
+def test_values_of_many_atoms(spark):
+    long = "Dept of A, B, C, D, E, F, G, H, I, J, K and L"
+    rows = [(i, f"{long}; Centre {i}") for i in range(8)] + [(9, long)]
+    got = packed.unpack(spark.createDataFrame(rows, "row_id bigint, cell string"), "row_id", ["cell"]).collect()
+    assert [r["item"] for r in got if r["row_id"] == 9] == [long]
