@@ -42,6 +42,8 @@ TITLES = frozenset("prof dr mr mrs ms sir dame professor doctor".split())
 SUFFIXES = frozenset("jr sr ii iii iv phd md".split())
 PARTICLES = frozenset("de van von der den del della di da du la le ter ten zu af".split())
 GROUP_KINDS = {"consortium": "consortium", "consort": "consortium", "collaboration": "collaboration", "collab": "collaboration", "group": "group", "grp": "group", "gp": "group", "team": "team", "network": "network", "initiative": "initiative", "committee": "committee"}
+# Legal forms; those of two letters could be initials and are left out.
+LEGAL = frozenset("gmbh mbh ltd limited inc incorporated corp corporation llc llp plc sarl srl pty company".split())
 GROUP_MODES = {"study": "study", "stud": "study", "working": "working", "work": "working", "research": "research", "trial": "trial"}
 
 _FORM = "spelling string, n bigint, given string, how string, middle string, surname string, order int"
@@ -80,6 +82,11 @@ def forms(spelling: str) -> list[tuple[str, str, str, str, int]]:
         modes = [GROUP_MODES[w] for w in words if w in GROUP_MODES]
         rest = [w for w in words if w not in GROUP_KINDS and w not in GROUP_MODES and w not in ("the", "of", "for", "a", "an")]
         return [(" ".join(modes + kinds), "group", "", " ".join(rest), 0)] if rest else []
+    plain = low.replace(",", " ").replace(".", "").split()
+    if len(plain) > 1 and plain[-1] in LEGAL:
+        # a firm is told by its name, whatever its legal form is called
+        core = [w for w in plain if w not in LEGAL and w not in ("the", "and", "&", "co")]
+        return [("company", "group", "", " ".join(core), 0)] if core else []
     if "," in low:
         last, _, first = low.partition(",")
         return [_person(_tokens(first), _tokens(last), 0, s)] if last.strip() and _tokens(first) else [("", "full", "", " ".join(_tokens(last)), 0)]
@@ -196,10 +203,14 @@ def with_surnames(rows: DataFrame) -> DataFrame:
     """``rows`` with ``family``: the surname that a misspelt one stands for.
 
     Surnames of the same initial that share a form (the surname, or it less one letter) and differ
-    by one edit or a swap are one where one of them is mentioned at most half as often.
+    by one edit or a swap are one where one of them is mentioned at most half as often. Of surnames
+    under four letters the whole given name must agree, and only a letter more or less counts.
     """
     keyed = rows.withColumn("i", F.when(F.col("how") == "group", F.col("given")).otherwise(F.substring("given", 1, 1)))
-    seen = keyed.groupBy("i", "surname").agg(F.sum("n").alias("m")).where("length(surname) >= 4")
+    short = (F.col("how") == "full") & (F.length("surname") <= 4) & (F.length("given") >= 3)
+    long = keyed.where("length(surname) >= 4").select("i", "surname", "n")
+    brief = keyed.where(short & (F.col("surname") != "")).select(F.concat(F.lit("="), "given").alias("i"), "surname", "n")
+    seen = long.unionAll(brief).groupBy("i", "surname").agg(F.sum("n").alias("m"))
     exploded = seen.select("i", "surname", "m", F.explode(_deletions("surname")).alias("form"))
     other = exploded.select("i", "form", F.col("surname").alias("s2"), F.col("m").alias("m2"))
     swap = (F.length("surname") == F.length("s2")) & (F.array_sort(F.split("surname", "")) == F.array_sort(F.split("s2", "")))
@@ -208,11 +219,13 @@ def with_surnames(rows: DataFrame) -> DataFrame:
     better = (
         exploded.join(other, ["i", "form"])
         .where((F.col("surname") != F.col("s2")) & stronger)
-        .where(near)
+        .where(near & (~F.col("i").startswith("=") | (F.length("surname") != F.length("s2"))))
         .groupBy("i", "surname")
         .agg(F.max_by("s2", F.struct("m2", "s2")).alias("better"))
     )
-    return keyed.join(better, ["i", "surname"], "left").withColumn("family", F.coalesce("better", "surname")).drop("better")
+    whole = better.where("i like '=%'").select(F.expr("substring(i, 2)").alias("given"), "surname", F.col("better").alias("as_whole"))
+    both = keyed.join(better.where("i not like '=%'"), ["i", "surname"], "left").join(whole, ["given", "surname"], "left")
+    return both.withColumn("family", F.coalesce("better", "as_whole", "surname")).drop("better", "as_whole")
 
 
 def members(names: DataFrame) -> DataFrame:

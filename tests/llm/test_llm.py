@@ -471,3 +471,9 @@ def test_items_shorter_than_a_window_leak_word_for_word(spark):
 def test_styled_letters_within_words_are_plain():
     assert lookalikes.base_form("𝐂ancer and ᴄell, 𝓶𝓸𝓾𝓼𝓮") == "Cancer and cell, mouse"
     assert lookalikes.base_form("where 𝑥 is in ℝ") == "where 𝑥 is in ℝ"
+
+
+def test_firms_and_short_surnames_link(spark):
+    rows = [("Acme Widgets Ltd", 3), ("ACME Widgets, Inc.", 2), ("Wei Li", 5), ("Wei Lii", 1), ("Wei Lu", 5)]
+    got = {tuple(r) for r in names.pairs(spark.createDataFrame(rows, "spelling string, n bigint")).collect()}
+    assert got == {("ACME Widgets, Inc.", "Acme Widgets Ltd"), ("Wei Li", "Wei Lii")}
