@@ -112,8 +112,8 @@ def test_sections_of_whole_texts(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("text <> ''")
     n_chars = docs.selectExpr("sum(length(text))").first()[0]
-    assert reference._whole(spark, sf).selectExpr("sum(length(context))").first()[0] == n_chars
-    assert {"agg5_sections_whole", "agg6_joined_text_whole", "ans2_context_whole"} <= set(reference.queries()) & set(reference.oracle_sql())
+    assert reference._contexts(spark, sf).selectExpr("sum(length(context))").first()[0] == n_chars
+    assert {"agg5_sections", "agg6_joined_text", "ans2_context"} <= set(reference.queries()) & set(reference.oracle_sql())
 
 
 def test_queries_over_all_titles(spark, tmp_path):
@@ -122,11 +122,11 @@ def test_queries_over_all_titles(spark, tmp_path):
     known = reference.queries()
     details = [(1, "Étude sur l’éléphant şehir", ["Žižek, Slavoj"], 2001, "Journal", "(Žižek et al. 2001) été", "zizek2001"), (2, "Ночные поезда города", ["Иванов, Пётр"], 2002, None, "поезда", "ivanov2002"), (3, "Night trains of towns", ["Smith, Ann"], 2003, "Journal", "plain", "smith2003")]
     spark.createDataFrame(details, "record_id bigint, title string, authors array<string>, pub_year int, journal string, citation string, docname string").write.parquet(f"{tmp_path}/doc_details.parquet")
-    spark.createDataFrame([(11, "Étude sur l’éléphant şehir"), (12, "ночные поезда города"), (13, "Nigth trains of towns")], "paper_id bigint, title string").write.parquet(f"{tmp_path}/s2_papers.parquet")
-    best = {r["asked_id"]: (r["candidate_id"], r["similarity"]) for r in known["jn14_best_title_all"](spark, str(tmp_path)).collect()}
-    assert best == {11: (1, 1.0), 12: (2, 1.0), 13: (3, 0.6)}
-    assert {(r["asked_id"], r["record_id"]) for r in known["hlp2_title_lookup_all"](spark, str(tmp_path)).collect()} == {(11, 1), (12, 2)}
-    for name in ("str3_similarity_all", "str4_strip_citations_all", "str10_accents_all", "str13_bibtex_key_all", "str18_given_first_all", "str22_library_key_all"):
+    spark.createDataFrame([(1100, "Étude sur l’éléphant şehir"), (1200, "ночные поезда города"), (1300, "Nigth trains of towns")], "paper_id bigint, title string").write.parquet(f"{tmp_path}/s2_papers.parquet")
+    best = {r["asked_id"]: (r["candidate_id"], r["similarity"]) for r in known["jn14_best_title"](spark, str(tmp_path)).collect()}
+    assert best == {1100: (1, 1.0), 1200: (2, 1.0), 1300: (3, 0.6)}
+    assert {(r["asked_id"], r["record_id"]) for r in known["hlp2_title_lookup"](spark, str(tmp_path)).collect()} == {(1100, 1), (1200, 2)}
+    for name in ("str3_similarity", "str4_strip_citations", "str10_accents", "str13_bibtex_key", "str18_given_first", "str22_library_key"):
         assert {r["record_id"] for r in known[name](spark, str(tmp_path)).collect()} == {1, 2, 3}, name
-    assert {r["record_id"]: r["plain"] for r in known["str10_accents_all"](spark, str(tmp_path)).collect()}[1] == "Etude sur l’elephant sehir"
-    assert {r["record_id"]: r["name"] for r in known["str18_given_first_all"](spark, str(tmp_path)).collect()}[2] == "Пётр Иванов"
+    assert {r["record_id"]: r["plain"] for r in known["str10_accents"](spark, str(tmp_path)).collect()}[1] == "Etude sur l’elephant sehir"
+    assert {r["record_id"]: r["name"] for r in known["str18_given_first"](spark, str(tmp_path)).collect()}[2] == "Пётр Иванов"
