@@ -130,3 +130,27 @@ def test_queries_over_all_titles(spark, tmp_path):
         assert {r["record_id"] for r in known[name](spark, str(tmp_path)).collect()} == {1, 2, 3}, name
     assert {r["record_id"]: r["plain"] for r in known["str10_accents"](spark, str(tmp_path)).collect()}[1] == "Etude sur l’elephant sehir"
     assert {r["record_id"]: r["name"] for r in known["str18_given_first"](spark, str(tmp_path)).collect()}[2] == "Пётр Иванов"
+
+
+def test_titles_meet_without_rows_of_pairs(spark, monkeypatch):
+    from evidentia.sources import providers
+
+    rows = [(i, f"On the use of word{i % 7} in an era") for i in range(40)] + [(50, "Go to it"), (51, None), (52, " "), (9, "On the use of word2 in an era")]
+    asked = [(100, "on the use of WORD3 in an era"), (101, "it to go"), (102, None), (103, "nothing alike"), (104, "The word2 era"), (105, "On the use of word2 in an era")]
+    a, r = spark.createDataFrame(asked, "asked_id bigint, asked_title string"), spark.createDataFrame(rows, "record_id bigint, title string")
+    monkeypatch.setattr(providers, "CHUNK_WORDS", 20)
+    full = {}
+    for q, x in asked:
+        for k, y in rows:
+            one, other = set((x or "").lower().split()), set((y or "").lower().split())
+            if one & other:
+                full[q, k] = len(one & other) / len(one | other)
+    top = {q: min((-s, k) for (p, k), s in full.items() if p == q) for q in {q for q, _ in full}}
+    for block in (1_000, 2):
+        monkeypatch.setattr(providers, "TITLE_BLOCK", block)
+        got = providers.by_title(a, r)
+        # frequent words would give rows by the square
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted((x["asked_id"], x["record_id"], x["similarity"]) for x in got.collect()) == sorted((*p, s) for p, s in full.items() if s >= 0.75)
+        assert {x["asked_id"]: (x["candidate_id"], x["similarity"]) for x in providers.best_by_title(a, r).collect()} == {q: (k, round(-s, 9)) for q, (s, k) in top.items()}
+    assert providers.by_title(a.limit(0), r).count() == providers.best_by_title(a, r.limit(0)).count() == 0
