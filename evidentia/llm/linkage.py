@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm.names import folded, forms
-from evidentia.session import cut, widen
+from evidentia.session import cut, drop_cut, widen
 
 COMMON_SHARE = 2000  # a word is common in at least one of so many records: at most so many times
 #                      the words of a title can be, which bounds the list of common words
 LEVELS = ("rare", "text", "marker", "who", "year")
 SAMPLE = 16  # hot keys are told by the classes of one in so many
 HOT = 2_000  # classes of one key that are joined in one go; more are dealt into blocks of so many
+IN_FLIGHT = 6  # pairs a class that are compared in one go; their texts are on disk meanwhile
+RULED_OUT = 0.001  # pairs of a first guess below wait as counts only; if learning disagrees, they are compared again
 MIN_CONFIDENCE = 0.5
 
 _CORRECTION = re.compile(r"^\W*(?:correction|corrigendum|erratum|retraction|retracted|comment|reply)s?\b(?:\s+(?:to|of|on|for))?\W*")
@@ -172,25 +174,65 @@ def _keys(c: DataFrame, right: bool) -> DataFrame:
     return c.select("class", F.explode(keys).alias("key"))
 
 
-def _propose(ca: DataFrame, cb: DataFrame) -> DataFrame:
-    """(class, class_b, first): the distinct pairs that share a key, and whether one of the first passes.
+def _met(ca: DataFrame, cb: DataFrame) -> DataFrame:
+    """(first, a, b): for each key that both sides have, whether it is of the first passes, and the
+    classes of either side. Keys of one side only, most of them, end here.
 
     A key of about more than ``HOT`` classes, judged by a sample, is dealt out: each side into
-    blocks, every block of one side met by every block of the other, so that no task holds all of
-    its pairs. No pair is left out, whatever the sample says.
+    blocks, every block of one side met by every block of the other, so that no row holds all of
+    its classes. No pair is left out, whatever the sample says.
     """
-    ka, kb = _keys(ca, False), _keys(cb, True).withColumnRenamed("class", "class_b")
+    ka, kb = _keys(ca, False), _keys(cb, True)
     sampled = lambda c, right: _keys(c.where(F.pmod("class", F.lit(SAMPLE)) == 0), right)
     sides = sampled(ca, False).select("key", F.lit(SAMPLE).alias("a"), F.lit(0).alias("b")).unionByName(sampled(cb, True).select("key", F.lit(0).alias("a"), F.lit(SAMPLE).alias("b")))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.sum(n) / HOT)).cast("int")
-    hot = cut(sides.groupBy("key").agg(blocks("a").alias("blocks"), blocks("b").alias("blocks_b"), F.sum(F.col("a") + F.col("b")).alias("n")).where(F.col("n") > HOT).drop("n"))
-    if hot.isEmpty():
-        met = ka.join(kb, "key")
-    else:
-        of_block = lambda k, c, own, other, i, j: k.join(hot, "key").select("key", c, F.expr(f"pmod({c}, {own})").cast("int").alias(i), F.explode(F.expr(f"sequence(0, {other} - 1)")).alias(j))
-        dealt = of_block(ka, "class", "blocks", "blocks_b", "i", "j").join(of_block(kb, "class_b", "blocks_b", "blocks", "j", "i"), ["key", "i", "j"])
-        met = ka.join(hot, "key", "left_anti").join(kb, "key").select("key", "class", "class_b").unionByName(dealt.select("key", "class", "class_b"))
-    return met.groupBy("class", "class_b").agg(F.max(F.col("key").bitwiseAND(F.lit(1))).cast("int").alias("first"))
+    hot = cut(sides.groupBy("key").agg(blocks("a").alias("blocks"), blocks("b").alias("blocks_b"), F.sum(F.col("a") + F.col("b")).alias("n")).where(F.col("n") > HOT).drop("n"), tidy=True)
+    if not hot.isEmpty():
+        # at most one in HOT of all keys; a block of a key is a key of its own with the same lowest bit
+        of_block = lambda k, own, other, ij: k.join(F.broadcast(hot), "key", "left").select(
+            "class", "key", F.col(own).alias("own"), F.explode(F.expr(f"sequence(0, coalesce({other}, 1) - 1)")).alias("met")
+        ).select("class", F.when(F.col("own").isNull(), F.col("key")).otherwise(F.shiftleft(F.xxhash64("key", *[{"own": F.expr("pmod(class, own)").cast("int"), "met": F.col("met")}[x] for x in ij]), 1).bitwiseOR(F.col("key").bitwiseAND(F.lit(1)))).alias("key"))
+        ka, kb = of_block(ka, "blocks", "blocks_b", ("own", "met")), of_block(kb, "blocks_b", "blocks", ("met", "own"))
+    both = ka.select("key", "class", F.lit(False).alias("right")).unionByName(kb.select("key", "class", F.lit(True).alias("right")))
+    return both.repartition("key").sortWithinPartitions("key").mapInArrow(_grouped, "first int, a array<bigint>, b array<bigint>")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, class, right) in order of their keys as a row for each key that both sides have."""
+
+    def of(rows: list[np.ndarray]) -> pa.RecordBatch:
+        key, of_class, right = rows
+        group = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        n = [np.bincount(group[side], minlength=group[-1] + 1) for side in (~right, right)]
+        kept = (n[0] > 0) & (n[1] > 0)
+        lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(k[kept])], pa.int32()), pa.array(of_class[side & kept[group]])) for k, side in zip(n, (~right, right), strict=True)]
+        first = key[np.r_[True, key[1:] != key[:-1]]][kept] & 1
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int32()), *lists], names=["first", "a", "b"])
+
+    held = None  # rows of the key that a batch ends with, which the next may go on with
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+        if len(rows[0]):
+            ends = np.searchsorted(rows[0], rows[0][-1])
+            if ends:
+                yield of([x[:ends] for x in rows])
+            held = [x[ends:] for x in rows]
+    if held is not None and len(held[0]):
+        yield of(held)
+
+
+def _pairs(met: DataFrame, slices: int = 1, n: int = 0) -> DataFrame:
+    """(class, class_b, first): the distinct pairs of classes that share a key, and whether one of
+    the first passes; of the right classes only the ``n``-th of so many slices."""
+    one = met.select("first", "a", F.explode("b").alias("class_b"))
+    one = one.where(F.pmod("class_b", F.lit(slices)) == n) if slices > 1 else one
+    return one.select("first", "class_b", F.explode("a").alias("class")).groupBy("class", "class_b").agg(F.max("first").alias("first"))
+
+
+def _propose(ca: DataFrame, cb: DataFrame) -> DataFrame:
+    return _pairs(_met(ca, cb))
 
 
 def _packed(c: DataFrame) -> DataFrame:
@@ -305,27 +347,61 @@ def link(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> Da
     """
     spark = left.sparkSession
     common = common_words(left, right)
-    a, b = cut(features(left, left_key, common)), cut(features(right, right_key, common))
-    ca, cb = cut(_classes(a)), cut(_classes(b))
-    pairs = _propose(ca, cb)
-    one = _packed(ca)
-    other = _packed(cb).select(*[F.col(c).alias(f"{c}_b") for c in one.columns])
-    met = pairs.join(other, "class_b").join(one, "class")
-    levels = _unpacked(_unpacked(met, ""), "_b")
-    levels = levels.withColumn("only", F.array_except("rare", "rare_b")).withColumn("only_b", F.array_except("rare_b", "rare")).withColumn("rare_level", _rare_level())
-    compared = cut(levels.select("class", "class_b", F.when(F.col("compact") == "", 1).otherwise(F.col("first")).alias("first"), F.col("rare_level").alias("rare"), _text_level().alias("text"), _marker_level().alias("marker"), _who_level().alias("who"), _year_level().alias("year")))
-    patterns = compared.groupBy(*LEVELS).agg(F.sum("first").alias("n"), F.count("*").alias("n_all")).toPandas()
+    a, b = (cut(features(x, k, common), tidy=True) for x, k in ((left, left_key), (right, right_key)))
+    ca, cb = (cut(_classes(x), tidy=True) for x in (a, b))
+    met = cut(_met(ca, cb), tidy=True)
+    n_pairs = met.agg(F.sum(F.size("a").cast("bigint") * F.size("b"))).first()[0] or 0
+    slices = max(1, -(-n_pairs // max(1, int(IN_FLIGHT * (ca.count() + cb.count())))))
+    counts, kept = [], []
+    for n in range(slices):
+        whole = cut(_compared(ca, cb, met, slices, n), tidy=True)
+        counts.append(whole.groupBy(*LEVELS).agg(F.sum("first").alias("n"), F.count("*").alias("n_all")).toPandas())
+        if len(counts[-1]):
+            kept.append((n, cut(_of(whole, _likely(counts[-1])))))
+        drop_cut(whole)
+    patterns = pd.concat(counts).groupby(list(LEVELS), as_index=False).sum()
     if not len(patterns):
         return a.join(b, "class").select(left_key, right_key, F.lit(1.0).alias("confidence")).limit(0)
     # the levels are learned from the first passes (and pairs without a title): the others meet many
     # unlike pairs with a name or a year in common, which would shift the shares of those levels
     patterns["n"] = patterns["n"] if patterns["n"].sum() else patterns["n_all"]
-    scored = spark.createDataFrame(pa.Table.from_pandas(learn(patterns.drop(columns="n_all")).astype({f: "int32" for f in LEVELS}).drop(columns="n"), preserve_index=False))
-    # at most the product of the level counts, 4320 rows
-    sure = compared.join(F.broadcast(scored), list(LEVELS)).where(F.col("confidence") >= MIN_CONFIDENCE)
+    scored = learn(patterns.drop(columns="n_all")).drop(columns="n")
+    scored = scored[scored["confidence"] >= MIN_CONFIDENCE]
+    sure = [x for _, x in kept]
+    for n, _ in kept:
+        # what is a match after all, against the first guess, is compared once more
+        own = scored.merge(counts[n][list(LEVELS)], on=list(LEVELS))
+        late = own.merge(_likely(counts[n]), on=list(LEVELS), how="left", indicator=True).query("_merge == 'left_only'")[list(LEVELS)]
+        if len(late):
+            sure.append(cut(_of(_compared(ca, cb, met, slices, n), late), tidy=True))
+    pairs = sure[0]
+    for x in sure[1:]:
+        pairs = pairs.unionByName(x)
     return (
-        sure.select("class", "class_b", "confidence")
+        _of(pairs, scored).select("class", "class_b", "confidence")
         .join(a.select(left_key, "class"), "class")
         .join(b.select(right_key, F.col("class").alias("class_b")), "class_b")
         .select(left_key, right_key, F.round("confidence", 6).alias("confidence"))
-    )
+    )
+
+
+def _compared(ca: DataFrame, cb: DataFrame, met: DataFrame, slices: int, n: int) -> DataFrame:
+    """(class, class_b, first, a column per level) of the pairs of one slice."""
+    other = _packed(cb.where(F.pmod("class", F.lit(slices)) == n))
+    other = other.select(*[F.col(c).alias(f"{c}_b") for c in other.columns])
+    pairs = _pairs(met, slices, n).join(other, "class_b").join(_packed(ca), "class")
+    levels = _unpacked(_unpacked(pairs, ""), "_b")
+    levels = levels.withColumn("only", F.array_except("rare", "rare_b")).withColumn("only_b", F.array_except("rare_b", "rare")).withColumn("rare_level", _rare_level())
+    return levels.select("class", "class_b", F.when(F.col("compact") == "", 1).otherwise(F.col("first")).alias("first"), F.col("rare_level").alias("rare"), _text_level().alias("text"), _marker_level().alias("marker"), _who_level().alias("who"), _year_level().alias("year"))
+
+
+def _likely(patterns: pd.DataFrame) -> pd.DataFrame:
+    """The patterns that the values where the learning starts don't rule out."""
+    return patterns.loc[learn(patterns.assign(n=1), 1)["confidence"] >= RULED_OUT, list(LEVELS)]
+
+
+def _of(compared: DataFrame, patterns: pd.DataFrame) -> DataFrame:
+    """The pairs of the given patterns (at most the product of the level counts, 4320 rows), with
+    their further columns."""
+    rows = pa.Table.from_pandas(patterns.astype({f: "int32" for f in LEVELS}), preserve_index=False)
+    return compared.join(F.broadcast(compared.sparkSession.createDataFrame(rows)), list(LEVELS))

@@ -207,6 +207,23 @@ def test_hot_keys_leave_no_pair_out(spark, monkeypatch):
         assert linkage._propose(ca, cb).count() == n
 
 
+def test_linkage_keeps_no_shuffle_files_and_slices_change_nothing(spark, monkeypatch):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
+    works = [(f"Effects of {word()} on {word()} in mice", [f"Ann {word()}", f"Bo {word()}"], 2000 + i % 9) for i in range(150)]
+    a = spark.createDataFrame([(i, *w) for i, w in enumerate(works)], "record_id bigint, title string, authors array<string>, pub_year int")
+    b = spark.createDataFrame([(900 + i, t.upper(), who[:1], y) for i, (t, who, y) in enumerate(works) if i % 2], "paper_id bigint, title string, authors array<string>, pub_year int")
+    shuffled = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().endswith(".data") and f.length()}
+    before = shuffled()
+    linked = linkage.link(a, b, "record_id", "paper_id")
+    assert sum(f.startswith("shuffle_") for f in shuffled() - before) <= 40  # counts and samples only
+    whole = {tuple(r) for r in linked.collect()}
+    assert {r[:2] for r in whole} == {(i, 900 + i) for i in range(150) if i % 2}
+    monkeypatch.setattr(linkage, "IN_FLIGHT", 2)
+    monkeypatch.setattr(linkage, "RULED_OUT", 1.1)  # the first guess rules all out, so all matches are compared again
+    assert {tuple(r) for r in linkage.link(a, b, "record_id", "paper_id").collect()} == whole
+
+
 def test_titles_with_a_moved_blank_meet(spark):
     schema = "record_id bigint, title string, authors array<string>, pub_year int"
     who = ["Ann Miller", "Bo Fischer"]
