@@ -154,3 +154,29 @@ def test_titles_meet_without_rows_of_pairs(spark, monkeypatch):
         assert sorted((x["asked_id"], x["record_id"], x["similarity"]) for x in got.collect()) == sorted((*p, s) for p, s in full.items() if s >= 0.75)
         assert {x["asked_id"]: (x["candidate_id"], x["similarity"]) for x in providers.best_by_title(a, r).collect()} == {q: (k, round(-s, 9)) for q, (s, k) in top.items()}
     assert providers.by_title(a.limit(0), r).count() == providers.best_by_title(a, r.limit(0)).count() == 0
+
+
+def test_best_title_of_every_paper(spark, tmp_path, monkeypatch):
+    import random
+
+    from evidentia.plans import reference
+    from evidentia.sources import providers
+
+    rng = random.Random(5)
+    made = lambda: " ".join(rng.choice(("a", "an", "of", "Heat", "flow", "in", "towns", f"word{rng.randrange(30)}")) for _ in range(rng.choice((1, 3, 6, 9))))
+    titles = [made() for _ in range(120)]
+    papers = [made() for _ in range(80)] + titles[:20] + ["zzz", "", None, " ".join(f"Word{i}" for i in range(29))]
+    spark.createDataFrame([(i, x) for i, x in enumerate([*titles, None])], "record_id bigint, title string").write.parquet(f"{tmp_path}/doc_details.parquet")
+    spark.createDataFrame([(1001 + i, x) for i, x in enumerate(papers)], "paper_id bigint, title string").write.parquet(f"{tmp_path}/s2_papers.parquet")
+    want = {}
+    for q, x in enumerate(papers, 1001):
+        for k, y in enumerate(titles):
+            one, other = set((x or "").lower().split()), set(y.lower().split())
+            if one & other:
+                want[q] = min(want.get(q, (0, 0)), (-round(len(one & other) / len(one | other), 9), k))
+    for left_out, long, block in ((1, 24, 2_000), (0, 4, 7), (2, 24, 7)):
+        for name, n in (("LEFT_OUT", left_out), ("LONG", long), ("BEST_BLOCK", block)):
+            monkeypatch.setattr(providers, name, n, raising=False)
+        got = {r["asked_id"]: (-r["similarity"], r["candidate_id"]) for r in reference.queries()["jn14_best_title"](spark, str(tmp_path)).collect()}
+        assert got == {q: (round(s, 6), k) for q, (s, k) in want.items()}
+    assert set(range(1001, 1101)) - set(want) == set()
